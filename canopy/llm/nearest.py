@@ -126,7 +126,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return stored(rows.filter(F.size("v") == dim).mapInArrow(run, "id long, v array<double>, codes binary"), "index"), quantiser
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, queries: Column, k: int = 10, share: float = 1 / 32, least: int = 64, at_once: int = 16_384) -> DataFrame:
+def search(index: DataFrame, quantiser: Quantiser | None, queries: Column, k: int = 10, share: float = 1 / 12, least: int = 192, at_once: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): of each index row that `queries` (a condition on id) holds for, the k nearest others.
 
     A task scans its rows block by block: tables of the queries give approximate inner products, and the best `share` of
