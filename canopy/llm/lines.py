@@ -31,9 +31,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     hashed = F.transform(F.filter(lines, lambda s: F.length(s["key"]) >= min_chars), lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["key"]).alias("h"), F.xxhash64(F.lit(7), s["key"]).alias("g")))
     long = stored(own.select("_id", "_row", hashed.alias("_long")).filter(F.size("_long") > 0), "lines")
     keys = long.select("_id", F.explode(F.array_distinct(F.transform("_long", lambda s: F.struct(s["h"].alias("h"), s["g"].alias("g"))))).alias("k"))
-    common = keys.groupBy(F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("_last")).filter(F.col("n") >= min_docs).drop("n")
+    common = keys.groupBy(F.col("k.h").alias("h"), F.col("k.g").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("_last")).filter(F.col("n") >= min_docs)
     at = long.select("_id", "_row", F.explode("_long").alias("s")).select("_id", "_row", "s.at", "s.h", "s.g")
-    gone = at.join(common, ["h", "g"]).filter(F.col("_id") != F.col("_last"))
+    # Keys that hold more than a thousandth of all long lines are fewer than a thousand: they are broadcast, the rest is shuffled.
+    lines_in_all = long.agg(F.sum(F.size("_long")).alias("n")).first()["n"] or 0
+    common = stored(common, "common")
+    often = F.broadcast(common.filter(F.col("n") * 1000 > lines_in_all).drop("n"))
+    seldom = common.filter(F.col("n") * 1000 <= lines_in_all).drop("n")
+    gone = at.join(often, ["h", "g"]).unionByName(at.join(often, ["h", "g"], "left_anti").join(seldom, ["h", "g"])).filter(F.col("_id") != F.col("_last"))
     # Equal rows share (_id, _row), so a position may come once for each of them.
     gone = gone.groupBy("_id", "_row").agg(F.collect_set("at").alias("_gone"))
     split = F.split(text, "\n", -1)
