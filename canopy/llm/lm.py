@@ -11,6 +11,7 @@ import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,7 @@ def _batch(codes_of: _Codes, m: Model, texts: list[str | None]):
     """(words by text, codes, types, of the previous word, of the one before) of all texts in a row; TYPES + SUFFIXES: none."""
     split = [words(t) for t in texts]
     size = np.fromiter(map(len, split), np.int64, len(split))
-    codes = np.fromiter((c for ws in split for c in map(codes_of.__getitem__, ws)), np.int64, int(size.sum()))
+    codes = np.fromiter(map(codes_of.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
     types = _types(m, codes)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     none = TYPES + SUFFIXES
@@ -105,7 +106,7 @@ def _update(m: Model, weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarr
     grad = np.exp(_log_softmax(m, weights, rows))
     grad[np.arange(len(target)), target] -= 1
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
         own = r[order]
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         total = np.add.reduceat(grad[order], at, axis=0)
