@@ -19,12 +19,12 @@ def _by_blocks(vectors: DataFrame, symmetric: bool) -> tuple[DataFrame, DataFram
     own = vectors.select("id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
     all_ = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = own.select("id", "v", F.col("own").alias("i"), F.explode(F.filter(all_, lambda j: j >= F.col("own")) if symmetric else all_).alias("j"))
-    right = own.select("id", "v", F.explode(F.filter(all_, lambda i: i <= F.col("own")) if symmetric else all_).alias("i"), F.col("own").alias("j"))
+    right = own.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.explode(F.filter(all_, lambda i: i <= F.col("own")) if symmetric else all_).alias("ri"), F.col("own").alias("rj"))
     return left, right
 
 
 def _cosines(a, b) -> np.ndarray:
-    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+    x, y = np.stack(a["v"].to_numpy()), np.stack(b["rv"].to_numpy())
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
     scale = np.where(nx == 0, 0, 1 / np.where(nx == 0, 1, nx))[:, None] * np.where(ny == 0, 0, 1 / np.where(ny == 0, 1, ny))[None]
     return (x @ y.T) * scale
@@ -41,12 +41,11 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
             return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
         c = _cosines(a, b)
         i, j = np.nonzero(c >= threshold)
-        x, y = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        one = x < y if a["own"].iloc[0] == b["own"].iloc[0] else x != y
+        x, y = a["id"].to_numpy()[i], b["rid"].to_numpy()[j]
+        one = x < y if a["i"].iloc[0] == a["j"].iloc[0] else x != y
         return pd.DataFrame({"a": np.minimum(x, y)[one], "b": np.maximum(x, y)[one], "cosine": c[i, j][one]})
 
-    l, r = left.withColumn("own", F.col("i")), right.withColumn("own", F.col("j"))
-    return l.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInPandas(find, "a long, b long, cosine double")
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(find, "a long, b long, cosine double")
 
 
 def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
@@ -59,7 +58,7 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
         out = {"i": [], "j": [], "distance": []}
         if not (a.empty or b.empty):
             d = np.clip(1 - _cosines(a, b), 0, 2)
-            x, y = a["id"].to_numpy(), b["id"].to_numpy()
+            x, y = a["id"].to_numpy(), b["rid"].to_numpy()
             d[x[:, None] == y[None]] = np.inf
             take = min(len(y), k + 8)
             at = np.argpartition(d, take - 1, axis=1)[:, :take]
@@ -67,6 +66,6 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
         got = pd.DataFrame(out)
         return got[np.isfinite(got["distance"].astype(float))].astype({"i": "int64", "j": "int64"})
 
-    got = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(find, "i long, j long, distance double")
+    got = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(find, "i long, j long, distance double")
     w = Window.partitionBy("i").orderBy("distance", "j")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", "distance")

@@ -1,6 +1,6 @@
 """Queries over the driver tables."""
 
-from . import items  # noqa: F401
+from . import items, relations, vectors  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
