@@ -116,7 +116,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         one = marked.filter(F.col("_y") == y).orderBy("_o", "_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
     sizes = docs.select(F.col("doc_id").alias("_id"), F.octet_length("text").alias("_b")).filter("_b > 0")
-    rows = sizes.join(F.broadcast(picked), "_id").select("_id", "_y", "_o", "_b").collect()
+    rows = sizes.join(F.broadcast(picked.distinct()), "_id").groupBy("_id", "_y", "_o").agg(F.min("_b").alias("_b")).collect()
     room, chosen = {0: max_bytes, 1: max_bytes}, {}
     for r in sorted(rows, key=lambda r: (r["_o"], r["_id"], r["_b"])):
         if r["_id"] not in chosen and r["_b"] <= room[r["_y"]]:
@@ -125,11 +125,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     if not chosen:
         return []
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long")
-    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).join(F.broadcast(ids), "_id").filter("length(_t) > 0").collect()
-    seen: dict[int, str] = {}
-    for r in texts:
-        if r["_id"] not in seen or r["_t"] < seen[r["_id"]]:
-            seen[r["_id"]] = r["_t"]
+    texts = docs.select(F.col("doc_id").alias("_id"), F.struct(F.octet_length("text").alias("b"), F.col("text").alias("t")).alias("_t")).filter("_t.b > 0")
+    # Of rows that repeat an id the shortest text counts, which is the one that was measured.
+    seen = {r["_id"]: r["t"]["t"] for r in texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_t").alias("t")).collect()}
     return [(i, seen[i], chosen[i][0]) for i in sorted(seen, key=lambda i: (chosen[i][1], i))]
 
 

@@ -26,7 +26,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     is one row a task. Texts are shuffled once, by id and hash, to meet the positions that go.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.drop("_n_lines", "_n_dropped").withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("_row", F.xxhash64(text))
+    # The input's columns travel in one struct, so that none clashes with those made here.
+    keep = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
+    own = docs.select(F.struct(*[F.col(c) for c in keep if c != text_col], text.alias(text_col)).alias("_doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_row"))
+    text = F.col("_doc")[text_col]
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), line_key(x).alias("key")))
     hashed = F.transform(F.filter(lines, lambda s: F.length(s["key"]) >= min_chars), lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["key"]).alias("h"), F.xxhash64(F.lit(7), s["key"]).alias("g")))
     long = stored(own.select("_id", "_row", hashed.alias("_long")).filter(F.size("_long") > 0), "lines")
@@ -45,7 +48,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     kept = let(split, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)))
     joined = own.join(gone, ["_id", "_row"], "left")
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
+        *[F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in keep],
         F.size(split).cast("long").alias("_n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"),
     )

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import per_process, ship, small_batches, stored
+from .base import ship, small_batches, stored
 
 ship(__name__)
 
@@ -102,7 +102,6 @@ def _link(keys: np.ndarray, fps: np.ndarray, segments: int, limit: int, chain: i
         left.append(fps[short[near]])
         right.append(fps[short[near] + d])
     for r in np.flatnonzero(size > 64):
-        start = int(keys[first[r]] >> 40)
         rest = np.arange(first[r], last[r])
         while len(rest):
             front, rest = [rest[0]], rest[1:]
@@ -116,7 +115,6 @@ def _link(keys: np.ndarray, fps: np.ndarray, segments: int, limit: int, chain: i
                     right.append(fps[got])
                     front += got.tolist()
                     rest = rest[~near]
-        del start
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
@@ -143,18 +141,16 @@ def links(fps: DataFrame, limit: int = 3, segments: int = 16, chain: int | None
         keys.append(key.bitwiseOR(F.lit(s << 40)))
     if have > 40:
         raise ValueError("the segments of equal bits must fit 40 bits")
-    spark = fps.sparkSession
     dealt = fps.select(value.alias("fp"), F.explode(F.array(*keys)).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    many = sizes.filter(F.col("n") > most)
-    hot = many.limit(10_001).collect()
-    if len(hot) > 10_000:
-        raise ValueError("more than 10,000 keys are larger than a block: use more bits of equal segments")
-    dealt = dealt.withColumn("part", F.lit(0))
-    if hot:
-        blocks = spark.createDataFrame([(r["key"], -(-r["n"] // most)) for r in hot], "key long, blocks int")
-        cut = dealt.join(F.broadcast(blocks), "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        with_each = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(F.col("own"), o) * 100_000 + F.greatest(F.col("own"), o))
+    many = stored(sizes.filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "many")
+    hot = many.count()
+    if not hot:
+        dealt = dealt.withColumn("part", F.lit(0))
+    else:
+        few = F.broadcast(many) if hot <= 10_000 else many  # else the keys are joined by a shuffle
+        cut = dealt.join(few, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        with_each = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(F.col("own"), o) * 30_000 + F.greatest(F.col("own"), o))
         dealt = cut.withColumn("part", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(with_each))).select("fp", "key", "part")
     sorted_ = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
 

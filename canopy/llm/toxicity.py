@@ -92,7 +92,7 @@ class Index:
         return (ids, w / norm) if norm > 0 else (np.empty(0, np.int64), np.empty(0))
 
     def nearest(self, text: str | None, k: int, first: int = 4, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine and the cosines, ties to the earlier example: exact.
+        """The k examples of the largest cosine above 0 and the cosines, ties to the earlier example: exact.
 
         A block's bound is the sum of its terms' largest weights. The blocks of the largest bounds are scored; of the
         others only those whose bound reaches the k-th best score so far. leave: an example that takes no part.
@@ -121,10 +121,9 @@ class Index:
                     break
         if leave is not None:
             scores[leave] = -1
-        k = min(k, n - (leave is not None))
-        best = np.argpartition(-scores, k - 1)[:k] if k < n else np.arange(n)[scores >= 0]
-        if k < n and len(best):
-            best = np.flatnonzero(scores >= scores[best].min()) if (scores == scores[best].min()).sum() < 64 else best
+        k = min(k, n)
+        kth = np.partition(scores, n - k)[n - k]
+        best = np.flatnonzero(scores >= kth) if kth > 0 else np.flatnonzero(scores > 0)
         best = best[np.lexsort((best, -scores[best]))][:k]
         return best, scores[best]
 
@@ -248,7 +247,7 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
             for text in batch:
                 best, cosine = index.nearest(text, m["k"])
                 votes.append(index.vote(best, cosine))
-                evidence.append(index.ids[best[cosine > 0]])
+                evidence.append(index.ids[best])
             yield pd.DataFrame({"score": np.clip(np.interp(votes, m["knots"], m["values"]), 0, 1), "evidence": pd.Series(evidence, dtype=object)})
 
     return F.pandas_udf(run, "score double, evidence array<long>", F.PandasUDFType.SCALAR_ITER)(F.col(text_col))

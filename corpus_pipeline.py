@@ -40,10 +40,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     they stay, one of each text.
     """
     groups = simhash.near_duplicates(docs)
-    winners = groups.filter(F.col("doc_id").isNotNull()).select(F.col("component_id").alias("_id")).distinct()
-    kept = docs.join(winners.unionByName(spark.createDataFrame([(None,)], "_id long")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    mark = "__canopy_id"
+    winners = groups.filter(F.col("doc_id").isNotNull()).select(F.col("component_id").alias(mark)).distinct()
+    kept = docs.join(winners.unionByName(spark.createDataFrame([(None,)], f"{mark} long")), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")
     first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.sha2("text", 256))).orderBy("text")
-    return kept.withColumn("_first", F.row_number().over(first)).filter("_first = 1").select(*docs.columns)
+    return kept.withColumn(mark, F.row_number().over(first)).filter(F.col(mark) == 1).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
