@@ -92,18 +92,26 @@ def _rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
     return [(h % np.uint64(r)).astype(np.int64) + s for h, r, s in zip((a, b, pair), ROWS, starts)]
 
 
-def _log_softmax(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def _logits(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Sums of the weight rows over the classes' shares, shifted so that the largest of each row is 0."""
     z = weights[rows[0]] + weights[rows[1]]
     z += weights[rows[2]]
     z += np.log(m.mass / m.mass.sum()).astype(np.float32)
     z -= z.max(1, keepdims=True)
+    return z
+
+
+def _log_softmax(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    z = _logits(m, weights, rows)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
 def _update(m: Model, weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float) -> None:
     """One gradient step on a batch; a row's step shrinks with how often it has been seen."""
-    grad = np.exp(_log_softmax(m, weights, rows))
+    grad = _logits(m, weights, rows)
+    np.exp(grad, out=grad)
+    grad /= grad.sum(1, keepdims=True)
     grad[np.arange(len(target)), target] -= 1
     for r in rows:
         order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
