@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,17 @@ def centroids(rows: DataFrame, key: str = "label", vector: str = "v") -> DataFra
     return packed.select(key, F.transform("c", lambda s: s["m"]).alias("centroid"), "n")
 
 
+def initial_centroids(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(label from 0, centroid): k of the rows (id, v) in the order of a hash of id and seed; where rows are fewer, the rest are
+    normal random vectors. Without rows there are none."""
+    order = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed))), 256)
+    got = [[float(x) for x in r["v"]] for r in rows.filter("v is not null").orderBy(order, "id").limit(k).collect()]
+    rng = np.random.default_rng(seed)
+    if got:
+        got += [rng.normal(size=len(got[0])).tolist() for _ in range(k - len(got))]
+    return rows.sparkSession.createDataFrame(list(enumerate(got)), "label long, centroid array<double>")
+
+
 def distances(rows: DataFrame, cents: DataFrame, key: str = "label", most: int = 10_000) -> DataFrame:
     """Each row (id, v) beside each centroid (k, centroid) with their squared distance d2.
 

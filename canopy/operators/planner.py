@@ -30,6 +30,18 @@ def build_plan(requests: DataFrame, key: str, column: str) -> DataFrame:
     return parts.select(key, F.inline(steps))
 
 
+def start_runs(requests: DataFrame, key: str, column: str, capabilities: list[tuple[str, str]], reason: str = "initial plan") -> tuple[DataFrame, DataFrame]:
+    """(plans: run, plan, version, parent, reason; steps: run, plan, version, step, dep, kind, capability, status) of new runs.
+
+    Run and plan are named by a hash of the key, so a task that is run again names them alike. Steps begin pending.
+    """
+    name = lambda kind: F.concat(F.lit(f"{kind}-"), F.substring(F.sha2(F.concat_ws("::", F.lit(kind), F.col(key).cast("string")), 256), 1, 12))
+    ids = [name("run").alias("run"), name("plan").alias("plan"), F.lit(1).alias("version")]
+    steps = build_plan(requests, key, column).withColumn("text", F.col("instructions"))
+    steps = ground(steps, capabilities).select(*ids, F.col("step_id").alias("step"), "dep", "kind", "capability", F.lit("pending").alias("status"))
+    return requests.select(*ids, F.lit(None).cast("int").alias("parent"), F.lit(reason).alias("reason")), steps
+
+
 def ready(steps: DataFrame, deps: DataFrame) -> DataFrame:
     """Steps (run, step, status) that are not running or over and whose dependencies (run, step, dep) are all exactly done."""
     state = steps.select("run", F.col("step").alias("dep"), F.col("status").alias("ds"))

@@ -69,3 +69,28 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     got = left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(find, "i long, j long, distance double")
     w = Window.partitionBy("i").orderBy("distance", "j")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", "distance")
+
+
+def projected_neighbours(unit: DataFrame, k: int, reach: float = 1.15, length: float = 1.5, tables: int = 6, seed: int = 1) -> DataFrame:
+    """As knn_graph, approximately: random projections of unit vectors (id, v) put near ones into common buckets, and pairs
+    within the Euclidean distance `reach` are ranked. Neighbours that share no bucket or lie beyond are not found."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = unit.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, reach, "d").select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "d").filter("i <> j")
+    w = Window.partitionBy("i").orderBy("d", "j")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", (F.col("d") * F.col("d") / 2).alias("distance"))
+
+
+def neighbours(unit: DataFrame, k: int, backend: str = "auto", exact_below: int = 2000) -> DataFrame:
+    """(i, rank, j, distance) by the backend named: exact, projected, or auto, which is exact below `exact_below` rows.
+
+    Exact stays the way out at every size where no neighbour may be missed: its tasks are bounded, their number is quadratic.
+    """
+    if backend not in ("auto", "exact", "projected"):
+        raise ValueError("the backend is auto, exact or projected")
+    if backend == "exact" or backend == "auto" and unit.count() < exact_below:
+        return knn_graph(unit, k)
+    return projected_neighbours(unit, k)

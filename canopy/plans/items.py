@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import rules, text
 from ..operators.dedupe import exact_dedupe
 from ..sources import store
+from . import prompts
 from .registry import Tables, query
 
 
@@ -362,3 +363,10 @@ def tool_vectors(t: Tables):
 def batches(t: Tables):
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return t("documents").select("doc_id", F.floor((n - 1) / 32).cast("long").alias("batch"))
+
+
+@query("prompt_block", "SELECT conv_id, turn, concat(chr(10), coalesce(text, ''), chr(10)) AS members FROM conversations")
+def prompt_block(t: Tables):
+    """What a labelling prompt says of its members, found again in the prompt."""
+    asked = t("conversations").select("conv_id", "turn", prompts.describe(F.col("text"), F.lit("(none)")).alias("p"))
+    return asked.select("conv_id", "turn", prompts.block(F.col("p"), "MEMBERS:").alias("members"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import hierarchy, planner
+from ..operators import hierarchy, planner, search
 from ..sources.store import shared_dir
 from ..streaming import feedback
 from .registry import Tables, query
@@ -310,3 +310,14 @@ def ext_json_props(t: Tables):
 def ext_topk_per_group(t: Tables):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return t("orders").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("o_custkey", "o_orderkey")
+
+
+@query("best_first_search")
+def best_first_search(t: Tables):
+    """From each region towards a customer of a large balance: 64 expansions in sequence, so rows only."""
+    scored = t("customer").select("c_custkey", "c_nationkey", (F.col("c_acctbal") / 10_000).alias("score"))
+    nations = scored.groupBy("c_nationkey").agg(F.round(F.avg("score"), 6).alias("score"))
+    down = t("nation").join(nations, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"), "score", F.col("n_nationkey").cast("long").alias("pos"), F.lit(False).alias("terminal"))
+    leaf = scored.select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"), "score", F.col("c_custkey").alias("pos"), (F.col("score") >= 0.99).alias("terminal"))
+    roots = t("region").select(F.col("r_name").alias("search"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(0.0).alias("score"), F.lit(False).alias("terminal"))
+    return search.best_first(roots, down.unionByName(leaf))

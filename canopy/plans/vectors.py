@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.vec import minus, norm, sq_distance
 from ..operators import cluster, retrieve
 from ..operators.dedupe import near_dedupe
-from ..operators.similarity import knn_graph, similar_pairs
+from ..operators.similarity import knn_graph, projected_neighbours, similar_pairs
 from ..sources.store import stored
 from .registry import Tables, query
 
@@ -49,14 +49,8 @@ def knn_graph_query(t: Tables):
 @query("ann_knn")
 def ann_knn(t: Tables):
     """Neighbours within a distance by random projections on unit vectors: approximate, so rows only."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vectors(t).select("id", array_to_vector(cluster.unit(F.col("v"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.5, numHashTables=6, seed=1).fit(unit)
-    pairs = model.approxSimilarityJoin(unit, unit, 1.15, "d").select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "d").filter("i <> j")
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("i", "rank", "j", F.round(F.col("d") * F.col("d") / 2, 6).alias("distance"))
+    unit = vectors(t).select("id", cluster.unit(F.col("v")).alias("v"))
+    return projected_neighbours(unit, 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("threshold_components", "WITH RECURSIVE " + PAIRS + ", e AS (SELECT a, b FROM p WHERE c >= 0.4 UNION ALL SELECT b, a FROM p WHERE c >= 0.4), r AS (SELECT id, id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id")

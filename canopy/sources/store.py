@@ -39,6 +39,15 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return whole.filter(F.col("tools").isNull()).drop("tools").unionByName(inner)
 
 
+#: What a file of evaluation cases gives.
+CASES = "id string, difficulty string, query string, calls array<string>, success_criteria array<string>, expectations map<string,string>"
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases, one JSON object a line; blank lines are skipped, keys that CASES lacks dropped and missing ones null."""
+    return spark.read.schema(CASES).json(path)
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
