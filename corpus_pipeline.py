@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from canopy.llm import quality, simhash, toxicity
+from canopy.llm import quality, toxicity
 from canopy.llm.base import remainder, stored, table
+from canopy.llm.jaccard import near_copies
 from canopy.llm.lines import dedup_lines
 from canopy.llm.packing import pack
 
@@ -34,12 +35,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id in each group of near duplicates.
+    """The document of the smallest id in each group of near duplicates: 5-word shingles of Jaccard 0.8 or more.
 
     Rows that repeat an id are one document, of the smallest text. Rows of null id cannot be told apart by it:
     they stay, one of each text.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = near_copies(docs)
     mark = "__canopy_id"
     winners = groups.filter(F.col("doc_id").isNotNull()).select(F.col("component_id").alias(mark)).distinct()
     kept = docs.join(winners.unionByName(spark.createDataFrame([(None,)], f"{mark} long")), F.col("doc_id").eqNullSafe(F.col(mark)), "left_semi")

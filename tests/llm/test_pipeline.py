@@ -1,9 +1,12 @@
 """The pipeline's stages, each on its own input, and the queries that SQL can express."""
 
+import random
+
 import duckdb
 
 import corpus_pipeline as cp
 from canopy.llm.base import stored
+from canopy.llm.jaccard import likeness, near_copies, shingles
 from canopy.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +32,48 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"] or -1) for r in got.collect()) == [-1, 2, 9]
 
 
+def test_near_duplicate_stage_finds_copies_of_likeness_080_to_095(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    rows, copies = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        rows.append((2 * g, " ".join(base)))
+        changed = list(base)
+        for i in rng.sample(range(0, 296, 6), 2 + g % 6):
+            changed[i] = "x"
+        rows.append((2 * g + 1, " ".join(changed)))
+        s = likeness(shingles(rows[-2][1]), shingles(rows[-1][1]))
+        copies[2 * g + 1] = s
+    got = {r["doc_id"] for r in cp.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert sum(0.8 <= s <= 0.95 for s in copies.values()) == 50
+    assert got == {2 * g for g in range(60)} | {i for i, s in copies.items() if s < 0.8}
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["text"] or "", []).append(r["doc_id"])
+    sets, ids = [shingles(t) for t in texts], [min(i) for i in texts.values()]
+    root = list(range(len(ids)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if 0.8 * max(len(sets[i]), len(sets[j])) <= min(len(sets[i]), len(sets[j])) and likeness(sets[i], sets[j]) >= 0.8:
+                root[top(i)] = top(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[top(i)] = min(d, least.get(top(i), d))
+    want = {d: least[top(i)] for i, g in enumerate(texts.values()) for d in g}
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()} == want
+
+
 def test_stages_take_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int"
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", None, None, 0, 1), (1, "x" * 50_000, "en", "s", 5, 1)], schema)
