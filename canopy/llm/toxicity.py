@@ -135,19 +135,26 @@ class Index:
         return float((w * self.labels[best]).sum() / w.sum())
 
 
-def unlike(examples: list[tuple[int, str, int]], n: int = 5, keys: int = 4) -> list[tuple[int, str, int]]:
-    """The examples without near copies of earlier ones: those that share one of four least hashes of their word runs."""
+def unlike(examples: list[tuple[int, str, int]], n: int = 5, least: float = 0.8) -> list[tuple[int, str, int]]:
+    """The examples without near copies: those whose word runs have a Jaccard likeness of `least` to a kept example of the same label.
+
+    Exact: of two such sets the smallest hashes, all but the share `least`, have one in common.
+    """
     import xxhash
 
-    seen: set[tuple[int, int]] = set()
-    kept = []
+    at: dict[tuple[int, int], list[int]] = {}
+    kept, sets = [], []
     for e in examples:
         got = words(e[1])
-        runs = {b" ".join(got[i : i + n]) for i in range(max(len(got) - n + 1, 1))}
-        marks = {(k, min(xxhash.xxh64_intdigest(r, k) for r in runs)) for k in range(keys)}
-        if not marks & seen:
-            kept.append(e)
-        seen |= marks
+        runs = {xxhash.xxh64_intdigest(b" ".join(got[i : i + n])) for i in range(max(len(got) - n + 1, 1))}
+        first = sorted(runs)[: len(runs) - int(np.ceil(least * len(runs) - 1e-9)) + 1]
+        near = {k for r in first for k in at.get((e[2], r), ())}
+        if any(len(runs & sets[k]) >= least * len(runs | sets[k]) - 1e-9 for k in near):
+            continue
+        for r in first:
+            at.setdefault((e[2], r), []).append(len(sets))
+        sets.append(runs)
+        kept.append(e)
     return kept
 
 

@@ -311,6 +311,18 @@ def test_toxicity(spark):
     assert "prior" in toxicity.fit(docs, marked.filter("toxic = 0"))
 
 
+def test_near_copies_of_the_same_label_alone_leave_the_examples():
+    rng = random.Random(12)
+    some = [[f"v{rng.randrange(10**6)}" for _ in range(100)] for _ in range(40)]
+    ex = [(i, " ".join(w), 1) for i, w in enumerate(some)]
+    ex += [(100 + i, " ".join(w), 0) for i, w in enumerate(some)]  # the same texts, of the other label
+    ex += [(200 + i, " ".join(w[:60] + [f"n{j}" for j in range(40)]), 1) for i, w in enumerate(some)]  # shared passages
+    copies = [(300 + i, " ".join(w[:-5]), 1) for i, w in enumerate(some)]
+    kept = {e[0] for e in toxicity.unlike(ex + copies)}
+    assert {i for i in kept if i < 200} == {*range(40), *range(100, 140)} and not kept & set(range(300, 340))
+    assert {i for i in kept if i >= 200} == set(range(200, 240))
+
+
 def test_block_max_is_exact():
     rng = random.Random(10)
     lex = [f"w{i}" for i in range(80)]
