@@ -50,6 +50,14 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
 
 
+def vote(labels: np.ndarray, cosine: np.ndarray) -> float:
+    """Share of label 1 among the nearest, each weighted by cos^2/d, d its distance 1 - cos; -0.1 if none is near at all."""
+    if not len(cosine) or cosine[0] <= 0:
+        return -0.1
+    w = np.maximum(cosine, 0) ** 2 / np.maximum(1 - cosine, 0.02)
+    return float((w * labels).sum() / w.sum())
+
+
 class Index:
     """Unit TF-IDF vectors of the examples by term, cut into blocks of examples that keep their largest weight.
 
@@ -128,11 +136,7 @@ class Index:
         return best, scores[best]
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of label 1 among the examples, each weighted by 1/d^2, d its distance 1 - cos over the nearest's; -0.1 if none is near at all."""
-        if not len(best) or cosine[0] <= 0:
-            return -0.1
-        w = np.maximum(cosine, 0) ** 2 / np.maximum(1 - cosine, 0.02)
-        return float((w * self.labels[best]).sum() / w.sum())
+        return vote(self.labels[best], cosine)
 
 
 def unlike(examples: list[tuple[int, str, int]], n: int = 5, least: float = 0.8) -> list[tuple[int, str, int]]:
@@ -158,34 +162,72 @@ def unlike(examples: list[tuple[int, str, int]], n: int = 5, least: float = 0.8)
     return kept
 
 
-def vocabulary_of(examples: list[tuple[int, str, int]], least: float = 30.0, most: int = 4096) -> dict[bytes, int]:
+#: Bounds of the log-likelihood ratio of a term and the label, of which cross-validation takes one.
+BOUNDS = (30.0, 20.0, 14.0, 10.0, 7.0, 5.0, 3.0)
+
+
+def occurrences(examples: list[tuple[int, str, int]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All terms of the examples; and by example and term: the example's number, the term's, how often it is there."""
+    number: dict[bytes, int] = {}
+    rows, cols, times = [], [], []
+    for k, (_, text, _) in enumerate(examples):
+        n = Counter(t for w in words(text) for t in terms(w))
+        rows.append(np.full(len(n), k))
+        cols.append(np.fromiter((number.setdefault(t, len(number)) for t in n), np.int64, len(n)))
+        times.append(np.fromiter(n.values(), np.int64, len(n)))
+    return list(number), *(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, cols, times))
+
+
+def ratios(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, use: np.ndarray, n_terms: int) -> np.ndarray:
+    """The log-likelihood ratio of each term's presence and the label, over the examples that `use` marks."""
+    n = [float((use & (y == k)).sum()) for k in (0, 1)]
+    seen = [np.bincount(cols[use[rows] & (y[rows] == k)], minlength=n_terms).astype(float) for k in (0, 1)]
+    have, total, g = seen[0] + seen[1], max(sum(n), 1.0), np.zeros(n_terms)
+
+    def part(x, of):
+        return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, of, 1))
+
+    for k in (0, 1):
+        g += part(seen[k], have * n[k] / total) + part(n[k] - seen[k], (sum(n) - have) * n[k] / total)
+    return 2 * g
+
+
+def largest(g: np.ndarray, least: float, most: int) -> np.ndarray:
+    """Numbers, rising, of the terms whose ratio reaches `least`; of more than `most` those of the largest."""
+    at = np.flatnonzero(g >= least)
+    return np.sort(at[np.argsort(-g[at], kind="stable")[:most]])
+
+
+def vocabulary_of(examples: list[tuple[int, str, int]], least: float = 30.0, most: int = 8192) -> dict[bytes, int]:
     """Terms whose presence goes with the label in the examples: a log-likelihood ratio of at least `least`, at most `most`
     of the largest. Others say nothing of the label and would drown the few that do in long texts."""
-    n = [sum(1 for _, _, y in examples if y == k) for k in (0, 1)]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for _, text, y in examples:
-        seen[y].update({t for w in set(words(text)) for t in terms(w)})
-
-    def part(x: float, of: float) -> float:
-        return x * np.log(x / of) if x > 0 else 0.0
-
-    ranked = []
-    for w in seen[0].keys() | seen[1].keys():
-        have = seen[0][w] + seen[1][w]
-        if have < 5:
-            continue
-        g = 0.0
-        for k in (0, 1):
-            share = n[k] / max(sum(n), 1)
-            g += part(seen[k][w], have * share) + part(n[k] - seen[k][w], (sum(n) - have) * share)
-        if 2 * g >= least:
-            ranked.append((-2 * g, w))
-    return {w: i for i, w in enumerate(sorted(w for _, w in sorted(ranked)[:most]))}
+    names, rows, cols, _ = occurrences(examples)
+    g = ratios(rows, cols, np.array([e[2] for e in examples]), np.ones(len(examples), bool), len(names))
+    return {w: i for i, w in enumerate(sorted(names[t] for t in largest(g, least, most)))}
+
+
+def held_out_votes(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray, splits: list, least: float, most: int, k: int) -> np.ndarray:
+    """Each example's vote when terms and neighbours are those of the other folds. splits: (examples of a fold, ratios over the others)."""
+    out = np.full(len(y), -0.1)
+    for test, g in splits:
+        chosen = largest(g, least, most)
+        place = np.full(len(g), -1)
+        place[chosen] = np.arange(len(chosen))
+        mine = place[cols] >= 0
+        x = np.zeros((len(y), max(len(chosen), 1)), np.float32)
+        x[rows[mine], place[cols[mine]]] = weight[mine]
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
+        others = np.flatnonzero(~test)
+        cosine = x[test] @ x[others].T
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        for i, b, c in zip(np.flatnonzero(test), best, np.take_along_axis(cosine, best, 1).astype(float)):
+            out[i] = vote(y[others[b]], c)
+    return out
 
 
 def document_counts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many there are. One row a term and task is shuffled, one a term collected."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # at most 4,096 terms
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # terms of a bounded sample
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -209,12 +251,13 @@ def document_counts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str
     return df, total
 
 
-def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_class: int = 1500, max_bytes: int = 12 << 20, k: int = 15) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_class: int = 1500, max_bytes: int = 12 << 20, k: int = 15, folds: int = 5, most: int = 8192) -> dict:
     """The examples, the document counts of their terms over all docs, and the calibration of the vote.
 
-    Examples are a bounded labelled sample: per_class rows and max_bytes of text a class, without near copies. Each
-    is scored with itself left out, and the scores are weighted back to the classes' shares among all labels. A class
-    without texts gives a constant score, the smoothed share of label 1.
+    Examples are a bounded labelled sample: per_class rows and max_bytes of text a class, without near copies. The bound
+    that makes a term part of the vocabulary is the one of BOUNDS whose held-out votes, by cross-validation, have the
+    least loss; so it follows the number of labels. The votes of that bound are calibrated, weighted back to the classes'
+    shares among all labels. A class without texts gives a constant score, the smoothed share of label 1.
     """
     keep = F.lit(True) if keep is None else keep
     marked = labels.filter(F.col("doc_id").isNotNull()).withColumn("_id", F.col("doc_id")).filter(keep)
@@ -224,14 +267,27 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, per_clas
     y = np.array([e[2] for e in examples])
     if len(set(y.tolist())) < 2:
         return {"prior": (share.get(1, 0) + 1) / (share.get(0, 0) + share.get(1, 0) + 2)}
-    vocabulary = vocabulary_of(examples)
-    df, n = document_counts(docs, vocabulary)
-    index = Index(examples, df, n, vocabulary)
-    votes = np.array([index.vote(*index.nearest(e[1], k, leave=i)) for i, e in enumerate(examples)])
-    weight = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
-    knots, values = fit_isotonic(votes, y, weight)
+    names, rows, cols, times = occurrences(examples)
+    fold = np.arange(len(y)) % folds
+    splits = [(fold == f, ratios(rows, cols, y, fold != f, len(names))) for f in range(folds)]
+    g = ratios(rows, cols, y, np.ones(len(y), bool), len(names))
+    counted = sorted({t for r in (g, *(r for _, r in splits)) for t in largest(r, BOUNDS[-1], most).tolist()})
+    df, n = document_counts(docs, {names[t]: i for i, t in enumerate(counted)})
+    held = np.zeros(len(names))
+    held[counted] = df
+    weight = (1 + np.log(times)) * np.log((1 + n) / (1 + held[cols]))
+    of_class = np.where(y == 1, share[1] / (y == 1).sum(), share[0] / (y == 0).sum())
+    tried = []
+    for least in BOUNDS:
+        votes = held_out_votes(y, rows, cols, weight, splits, least, most, k)
+        knots, values = fit_isotonic(votes, y, of_class)
+        p = np.interp(votes, knots, values)
+        tried.append((-(of_class * np.where(y == 1, np.log(p), np.log(1 - p))).sum(), -least, knots, values))
+    _, least, knots, values = min(tried, key=lambda t: t[:2])
+    chosen = sorted(largest(g, -least, most).tolist(), key=lambda t: names[t])
+    index = Index(examples, held[chosen], n, {names[t]: i for i, t in enumerate(chosen)})
     version = hashlib.sha256(index.weight.tobytes() + index.ids.tobytes() + values.tobytes()).hexdigest()
-    return {"index": index, "knots": knots, "values": values, "k": k, "version": version}
+    return {"index": index, "knots": knots, "values": values, "k": k, "version": version, "least": -least}
 
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
@@ -244,7 +300,7 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     if "prior" in model:
         return F.struct(F.lit(float(model["prior"])).alias("score"), F.array().cast("array<long>").alias("evidence"))
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * per_class examples of 4,096 terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * per_class examples of 8,192 terms
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = per_process(("toxicity", shared.value["version"]), lambda: shared.value)

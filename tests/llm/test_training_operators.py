@@ -311,6 +311,20 @@ def test_toxicity(spark):
     assert "prior" in toxicity.fit(docs, marked.filter("toxic = 0"))
 
 
+def test_toxicity_finds_a_rarer_language(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(780):
+        words = prose(rng, rng.randint(20, 60)).split()
+        if i % 2 == 0:
+            words[3:3] = ["estupido", "basura"] if i % 32 == 0 else ["moron", "scum"]
+        texts.append(" ".join(words))
+    docs = frame(spark, texts)
+    model = toxicity.fit(docs, labels(spark, [(i, 1, int(i % 2 == 0), "z") for i in range(420)]))  # 7 examples of the rarer language
+    score = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.scored(docs, model)["score"].alias("s")).collect()}
+    assert all(score[i] >= 0.3 for i in range(608, 780, 32)) and np.mean([score[i] < 0.3 for i in range(600, 780) if i % 2]) > 0.95
+
+
 def test_near_copies_of_the_same_label_alone_leave_the_examples():
     rng = random.Random(12)
     some = [[f"v{rng.randrange(10**6)}" for _ in range(100)] for _ in range(40)]
