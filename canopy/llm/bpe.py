@@ -8,6 +8,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from struct import pack
 
 from pyspark.sql import DataFrame
@@ -84,7 +85,8 @@ class Transducer:
         self.special = model["special"]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.pieces = regex.compile(PIECES).findall
+        self.word_end = re.compile(f"(?<=[^{SPACE}])[{SPACE}]").search
+        self.pieces = regex.compile(PIECES)
         self.hot: dict[str, bytes] = _Words(self)
         self.warm: dict[str, bytes] = {}
 
@@ -145,21 +147,46 @@ class Transducer:
                 window = window[end:]
         yield from self.merge(window)
 
+    def piece(self, text: str) -> Iterator[int]:
+        """Ids of a piece. One that ends inside its first window has nothing to look ahead to and is merged at once."""
+        if len(text) * 4 <= self.block:
+            return iter(self.merge(text.encode()))
+        return self.stream(text[k : k + self.block].encode() for k in range(0, len(text), self.block))
+
     def packed(self, chunk: str) -> bytes:
         """Ids of a chunk between blanks, as little-endian unsigned 32-bit integers."""
         out: list[int] = []
-        for piece in (chunk,) if chunk.isspace() else self.pieces(chunk):
-            data = piece.encode()
-            out += self.merge(data) if len(data) <= self.block else self.stream([data])
+        for piece in (chunk,) if chunk.isspace() else self.pieces.findall(chunk):
+            out += self.piece(piece)
         return pack(f"<{len(out)}I", *out)
 
-    def encode(self, text: str) -> Iterator[bytes]:
-        """Packed ids of the text, some thousand chunks at a time. Special tokens' strings become their ids."""
-        for part in self.cut.split(text) if self.cut else (text,):
-            if part in self.special:
-                yield self.special[part].to_bytes(4, "little")
-            elif part:
-                yield b"".join(map(self.hot.__getitem__, self.chunks(part)))
+    def parts(self, text: str, start: int, stop: int, size: int) -> Iterator[tuple[int, int]]:
+        """Cuts of text[start:stop] of about `size` characters, each at the end of a word, where chunks end in any text."""
+        while start < stop:
+            found = self.word_end(text, start + size, stop) if stop - start > size else None
+            end = found.start() if found else stop
+            yield start, end
+            start = end
+
+    def encode(self, text: str, size: int = 1 << 15) -> Iterator[bytes]:
+        """Packed ids of the text, some thousand at a time: beside the text itself, what is held does not grow with it.
+        Special tokens' strings become their ids."""
+        start = 0
+        for cut in chain(self.cut.finditer(text) if self.cut else (), (None,)):
+            for a, b in self.parts(text, start, len(text) if cut is None else cut.start(), size):
+                if b - a <= 2 * size:
+                    yield b"".join(map(self.hot.__getitem__, self.chunks(text[a:b])))
+                else:  # a word without end, with what stands before it
+                    yield from self.long(text, a, b, size)
+            if cut is not None:
+                yield self.special[cut[0]].to_bytes(4, "little")
+                start = cut.end()
+
+    def long(self, text: str, start: int, stop: int, size: int) -> Iterator[bytes]:
+        """As encode, piece by piece: for stretches whose words are longer than a part. A piece's end sees the stretch's end only."""
+        ids = chain.from_iterable(self.piece(m[0]) for m in self.pieces.finditer(text, start, stop))
+        while some := list(islice(ids, size)):
+            yield pack(f"<{len(some)}I", *some)
 
 
 class _Words(dict):
