@@ -101,17 +101,19 @@ class Quantiser:
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 16_384) -> tuple[DataFrame, Quantiser | None]:
     """The index: id, original vector and codes of every usable row; and the quantiser, fitted on at most `sample` rows.
 
-    The sample is by the order of a hash of the id. Vectors of another length than the sample's first take no part,
-    nor do null ids.
+    The sample is by the order of a hash of the id. The vectors' length is the most frequent one of all usable rows, the
+    larger of equals; vectors of another, which have no distance to the rest, take no part, nor do null ids. Other columns
+    are ignored; an id that repeats stays once for each row.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    if not some:
+    usual = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    if usual is None:
         return spark.createDataFrame([], "id long, v array<double>, codes binary"), None
-    dim = len(some[0]["v"])
-    quantiser = Quantiser(np.array([r["v"] for r in some if len(r["v"]) == dim]))
+    rows = rows.filter(F.size("v") == usual["d"])
+    some = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
+    quantiser = Quantiser(np.array([r["v"] for r in some]))
     shared = spark.sparkContext.broadcast(quantiser)  # 16 centres a code
 
     def run(batches):
@@ -122,75 +124,144 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
                 x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([c.tobytes() for c in shared.value.packed(x)], pa.binary())], names=["id", "v", "codes"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    return stored(rows.filter(F.size("v") == dim).mapInArrow(run, "id long, v array<double>, codes binary"), "index"), quantiser
+    return stored(rows.mapInArrow(run, "id long, v array<double>, codes binary"), "index"), quantiser
 
 
-def search(index: DataFrame, quantiser: Quantiser | None, queries: Column, k: int = 10, share: float = 1 / 12, least: int = 192, at_once: int = 16_384) -> DataFrame:
+#: Cells of the histogram of approximate scores that each query has.
+CELLS = 128
+
+
+def search(index: DataFrame, quantiser: Quantiser | None, queries: Column, k: int = 10, rerank: int = 512, at_once: int = 4096, sample: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): of each index row that `queries` (a condition on id) holds for, the k nearest others.
 
-    A task scans its rows block by block: tables of the queries give approximate inner products, and the best `share` of
-    each block (at least `least` rows) get their Euclidean distance from the original vectors. The share keeps recall
-    alike at every size. Ties go to the smaller id. An id that repeats takes part with each row as candidate, never as
-    its own neighbour, and is one query, by its smallest vector. Queries go in ranges of about `at_once` ids, one scan
-    each, so that what is broadcast stays bounded; a scan returns k rows a query and task.
+    A first scan of the codes counts, for each query, the approximate scores of all rows in cells; so the score is known
+    that about `rerank` rows of the whole table reach. A second scan gives these rows, wherever they lie, their Euclidean
+    distance from the original vectors. The budget is the same at every size, and neither partitions nor batches change
+    the result. Ties go to the smaller id. An id that repeats takes part with each row as candidate, never as its own
+    neighbour, and is one query, by its smallest vector. Queries go in ranges of about `at_once` ids, each of which is
+    stored before the next begins, so that what is collected and broadcast stays bounded; a scan returns k rows a query and task.
     """
     spark = index.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = index.filter(queries)
     n = asked.count()
     if not n or quantiser is None:
-        return empty
-    cuts = sorted({int(c) for c in asked.approxQuantile("id", [i / (n // at_once + 1) for i in range(1, n // at_once + 1)], 0.1 / (n // at_once + 1))}) if n > at_once else []
-    edges = [None, *cuts, None]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    out = None
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    all_rows = index.count()
+    parts = n // at_once + 1
+    cuts = sorted({int(c) for c in asked.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    some = np.array([r["v"] for r in index.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(sample).collect()])
+    codes, bias = quantiser.packed(some), (some * some).sum(1) / 2
+    edges, out = [None, *cuts, None], None
     for low, high in zip(edges, edges[1:]):
         part = asked if low is None else asked.filter(F.col("id") > low)
         part = part if high is None else part.filter(F.col("id") <= high)
         rows = part.groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()
-        if rows:
-            shared = spark.sparkContext.broadcast((quantiser, np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])))
-            got = index.mapInArrow(_scan(shared, k, share, least), "query_id long, vec_id long, score double")
-            out = got if out is None else out.unionByName(got)
+        if not rows:
+            continue
+        ids, q = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
+        first = _first_cell(quantiser, q, codes, bias, rerank, all_rows)
+        shared = spark.sparkContext.broadcast((quantiser, ids, q, first))
+        counts = np.zeros((len(ids), CELLS), np.int64)
+        for r in index.select("v", "codes").mapInArrow(_count(shared), "at long, n binary").groupBy("at").applyInArrow(_add, "at long, n binary").collect():
+            counts[r["at"] : r["at"] + STRIP] = np.frombuffer(r["n"], np.int64).reshape(-1, CELLS)
+        reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] >= rerank  # falling: true up to the last cell that is reached by enough
+        cell = np.where(reach.any(1), reach.sum(1) - 1, 0)
+        wanted = spark.sparkContext.broadcast((quantiser, ids, q, first, cell))
+        got = stored(index.mapInArrow(_scan(wanted, k), "query_id long, vec_id long, score double"), "found")
+        shared.unpersist()
+        wanted.unpersist()
+        out = got if out is None else out.unionByName(got)
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _scan(shared, k: int, share: float, least: int):
+#: Queries whose counts travel in one row.
+STRIP = 128
+
+
+def _approximate(quantiser: Quantiser, q: np.ndarray, codes: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Approximate inner products less bias of each query (rows) and code (columns)."""
+    t = quantiser.tables(q)
+    score = -np.broadcast_to(bias.astype(np.float32), (len(t), len(codes)))
+    for j in range(t.shape[1]):
+        score = score + np.take(t[:, j], codes[:, j], axis=1)
+    return score
+
+
+def _first_cell(quantiser: Quantiser, q: np.ndarray, codes: np.ndarray, bias: np.ndarray, rerank: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of each query's cells: from well below the score that `rerank` of n rows reach, by a sample, to its best and as far again."""
+    place = min(len(codes) - 1, int(4 * rerank * len(codes) / n) + 8)
+    low, step = np.empty(len(q)), np.empty(len(q))
+    for s in range(0, len(q), STRIP):
+        score = np.sort(_approximate(quantiser, q[s : s + STRIP], codes, bias), axis=1)
+        low[s : s + STRIP] = score[:, -1 - place]
+        step[s : s + STRIP] = 2 * (score[:, -1] - score[:, -1 - place]) / CELLS
+    return low, np.maximum(step, 1e-12)
+
+
+def _cells(score: np.ndarray, low: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The cell of each score; the first holds all below it too, and the last all above."""
+    return np.clip((score - low[:, None]) / step[:, None], 0, CELLS - 1).astype(np.int64)
+
+
+def _blocks(batches, rows: int = 4096):
+    """(batch, codes, half squared norms) of at most `rows` rows."""
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            part = b.slice(s, rows)
+            x = np.asarray(part.column("v").flatten()).reshape(part.num_rows, -1)
+            yield part, x, np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(part.num_rows, -1), (x * x).sum(1) / 2
+
+
+def _count(shared):
     def run(batches):
         import pyarrow as pa
 
-        quantiser, ids, q = shared.value
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
+        quantiser, ids, q, (low, step) = shared.value
+        counts = np.zeros((len(ids), CELLS), np.int64)
+        for _, _, codes, bias in _blocks(batches):
+            for s in range(0, len(ids), STRIP):
+                e = slice(s, min(s + STRIP, len(ids)))
+                cell = _cells(_approximate(quantiser, q[e], codes, bias), low[e], step[e])
+                counts[e] += np.bincount((cell + np.arange(len(cell))[:, None] * CELLS).ravel(), minlength=len(cell) * CELLS).reshape(-1, CELLS)
+        at = list(range(0, len(ids), STRIP))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([counts[s : s + STRIP].tobytes() for s in at], pa.binary())], names=["at", "n"])
+
+    return run
+
+
+def _add(table):
+    import pyarrow as pa
+
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("n").to_pylist())
+    return pa.table({"at": table.column("at").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def _scan(shared, k: int):
+    def run(batches):
+        import pyarrow as pa
+
+        quantiser, ids, q, (low, step), wanted = shared.value
+        none = np.iinfo(np.int64).max
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), none)
+        for b, x, codes, bias in _blocks(batches):
             own = np.asarray(b.column("id")).astype(np.int64)
-            x = np.asarray(b.column("v").flatten()).reshape(n, -1)
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(n, -1)
-            bias = ((x * x).sum(1) / 2).astype(np.float32)
-            take = min(n, max(least, int(n * share) + 1))
-            for s in range(0, len(ids), 128):
-                e = slice(s, min(s + 128, len(ids)))
-                t = quantiser.tables(q[e])
-                score = -np.broadcast_to(bias, (len(t), n))
-                for j in range(t.shape[1]):
-                    score = score + np.take(t[:, j], codes[:, j], axis=1)
-                at = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                d = np.zeros((len(t), take))
+            for s in range(0, len(ids), STRIP):
+                e = slice(s, min(s + STRIP, len(ids)))
+                row, col = np.nonzero(_cells(_approximate(quantiser, q[e], codes, bias), low[e], step[e]) >= wanted[e, None])
+                other = own[col] != ids[e][row]
+                row, col = row[other], col[other]
+                d = np.zeros(len(row))
                 for j in range(x.shape[1]):  # component after component, as SQL sums
-                    diff = x[:, j][at] - q[e, j][:, None]
+                    diff = x[col, j] - q[e][row, j]
                     d += diff * diff
-                d = np.sqrt(d)
-                i = own[at]
-                d[i == ids[e][:, None]] = np.inf
-                i = np.where(np.isinf(d), np.iinfo(np.int64).max, i)
-                d, i = np.concatenate([best_d[e], d], 1), np.concatenate([best_i[e], i], 1)
-                order = np.lexsort((i, d))[:, :k]
-                best_d[e], best_i[e] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+                row, d, i = np.concatenate([row, np.repeat(np.arange(e.stop - s), k)]), np.concatenate([np.sqrt(d), best_d[e].ravel()]), np.concatenate([own[col], best_i[e].ravel()])
+                order = np.lexsort((i, d, row))
+                row, d, i = row[order], d[order], i[order]
+                start = np.searchsorted(row, np.arange(e.stop - s))
+                take = (start[:, None] + np.arange(k)).ravel()  # each query has k at least, as k were there
+                best_d[e], best_i[e] = d[take].reshape(-1, k), i[take].reshape(-1, k)
         have = np.isfinite(best_d)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, have.sum(1))), pa.array(best_i[have]), pa.array(best_d[have])], names=["query_id", "vec_id", "score"])
 
