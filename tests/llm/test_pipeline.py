@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 
 import corpus_pipeline as cp
 from canopy.llm.base import stored
-from canopy.llm.jaccard import likeness, near_copies, shingles
+from canopy.llm.jaccard import apart, bitmap, can_reach, likeness, near_copies, shingles
 from canopy.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,30 @@ def test_near_duplicate_stage_finds_copies_of_likeness_080_to_095(spark):
     assert got == {2 * g for g in range(60)} | {i for i, s in copies.items() if s < 0.8}
 
 
+def test_bitmaps_leave_no_pair_out(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (3, 40, 60, 63, 66, 250, 6000)]
+    texts = []
+    for b in base:
+        for _ in range(12):
+            w = list(b)
+            for _ in range(rng.randint(0, max(1, len(b) // 25))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(w[: rng.randint(int(0.9 * len(w)), len(w))]))
+    sets = [shingles(t) for t in texts]
+    got = [bitmap(t, 5) for t in texts]
+    root = np.arange(len(texts))
+    root[12:18] = 12
+    a, b = can_reach(np.array([n for n, _ in got]), root, [x for _, x in got], 0.8)
+    found = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8}
+    assert want and want <= found and len(found) < 3 * len(want)
+    members = spark.createDataFrame([(k, i, int(root[i])) for i in range(len(texts)) for k in (1, 2)], "key long, node long, root long")
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    for most in (8192, 20):
+        assert {tuple(r) for r in apart(members, frame, 5, 0.8, most).collect()} == found
+
+
 def test_near_copies_are_those_of_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {}
@@ -74,6 +99,17 @@ def test_near_copies_are_those_of_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()} == want
 
 
+def test_toxicity_and_quality_stages_drop_what_is_labelled_and_keep_the_clean(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    for stage, bad, least in ((cp.toxicity_stage, lambda r: r["toxic"] == 1, 0.6), (cp.quality_stage, lambda r: r["quality"] == 0, 0.6)):
+        kept = {r["doc_id"] for r in stage(spark, docs, folder).select("doc_id").collect()}
+        dropped = [i not in kept for i, r in labels.items() if bad(r)]
+        clean = [i in kept for i, r in labels.items() if r["toxic"] == 0 and r["quality"] == 1]
+        assert sum(dropped) / len(dropped) >= least and sum(clean) / len(clean) >= 0.97, stage
+
+
 def test_stages_take_odd_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _gone int"
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (1, "", None, None, 0, 1), (1, "x" * 50_000, "en", "s", 5, 1)], schema)
