@@ -79,13 +79,19 @@ def initial_centroids(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
 def distances(rows: DataFrame, cents: DataFrame, key: str = "label", most: int = 10_000) -> DataFrame:
     """Each row (id, v) beside each centroid (k, centroid) with their squared distance d2.
 
-    Centroids are few by construction, which is checked; they travel as one array in the plan, not as a join.
+    At most `most` centroids travel as one array in the plan. More are dealt into blocks by a hash, which each row meets
+    by a join on the block's number, so nothing is collected and any number has its way.
     """
-    got = cents.select(F.col(key).alias("k"), "centroid").orderBy("k").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError("too many centroids to hold beside each row")
-    small = rows.sparkSession.createDataFrame([([(r["k"], r["centroid"]) for r in got],)], "cs array<struct<k:long,centroid:array<double>>>")
-    return rows.join(F.broadcast(small)).select(*rows.columns, F.inline("cs")).withColumn("d2", sq_distance(F.col("v"), F.col("centroid")))
+    got = cents.select(F.col(key).cast("long").alias("k"), "centroid")
+    n = got.count()
+    item = F.struct("k", "centroid")
+    if n <= most:
+        beside = rows.join(F.broadcast(got.agg(F.collect_list(item).alias("cs"))))
+    else:
+        blocks = -(-n // 1000)
+        dealt = got.groupBy(F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(item).alias("cs"))
+        beside = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_b")
+    return beside.select(*rows.columns, F.inline("cs")).withColumn("d2", sq_distance(F.col("v"), F.col("centroid")))
 
 
 def nearest(with_d2: DataFrame, keep: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rules, text
 from ..operators.dedupe import exact_dedupe
+from ..operators.ranks import first_of, numbered
 from ..sources import store
 from . import prompts
 from .registry import Tables, query
@@ -80,8 +81,8 @@ def content_hash(t: Tables):
 
 @query("stable_ids", "SELECT doc_id, 'group_' || substr(sha256('group:' || source || ':' || row_number() OVER (PARTITION BY source ORDER BY doc_id)), 1, 8) AS id FROM documents")
 def stable_ids(t: Tables):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t("documents").select("doc_id", F.concat(F.lit("group_"), F.substring(F.sha2(F.concat_ws(":", F.lit("group"), "source", n), 256), 1, 8)).alias("id"))
+    rows = numbered(t("documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")
+    return rows.select("doc_id", F.concat(F.lit("group_"), F.substring(F.sha2(F.concat_ws(":", F.lit("group"), "source", F.col("n") + 1), 256), 1, 8)).alias("id"))
 
 
 @query("item_content_hash", """SELECT p_partkey, sha256('{"doc": "' || p_type || '", "examples": [], "name": "' || p_name || '", "signature": "' || p_brand || '"}') AS hash FROM part""")
@@ -127,9 +128,8 @@ def summarize_text(t: Tables):
 
 @query("cluster_member_block", "SELECT source, string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS block FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 10 GROUP BY source")
 def cluster_member_block(t: Tables):
-    first = t("documents").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("n <= 10")
-    members = first.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
-    return members.select("source", text.member_block(F.transform("m", lambda x: x.cast("string"))).alias("block"))
+    members = first_of(t("documents"), ["source"], "doc_id", "doc_id", 10)
+    return members.select("source", text.member_block(F.transform("items", lambda x: x.cast("string"))).alias("block"))
 
 
 @query("parse_subqueries", "SELECT event_id, [event_type, '7', 'true'] AS parts FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, [event_type] FROM events WHERE event_id % 2 = 1")
@@ -361,8 +361,8 @@ def tool_vectors(t: Tables):
 
 @query("batches", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 32 AS batch FROM documents")
 def batches(t: Tables):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t("documents").select("doc_id", F.floor((n - 1) / 32).cast("long").alias("batch"))
+    rows = numbered(t("documents").select("doc_id", "source"), ["source"], ["doc_id"], "n")
+    return rows.select("doc_id", F.floor(F.col("n") / 32).cast("long").alias("batch"))
 
 
 @query("prompt_block", "SELECT conv_id, turn, concat(chr(10), coalesce(text, ''), chr(10)) AS members FROM conversations")

@@ -66,7 +66,7 @@ def tree_node_counts(t: Tables):
 @query("ancestors_to_relabel", f"WITH RECURSIVE {EDGES}, a AS (SELECT DISTINCT 'c' || o_custkey AS node FROM orders WHERE o_orderstatus = 'F' UNION SELECT e.parent FROM a JOIN e ON e.child = a.node) SELECT node FROM a")
 def ancestors_to_relabel(t: Tables):
     hit = t("orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("c"), "o_custkey").alias("node"))
-    return hierarchy.ancestors(edges(t), hit, 4)
+    return hierarchy.ancestors(edges(t), hit)
 
 
 @query("level_collapse", "SELECT r_name AS name, CASE WHEN (SELECT count(*) FROM nation) <= 3 THEN 'L1' ELSE 'L2' END AS level FROM region")

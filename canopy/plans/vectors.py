@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vec import minus, norm, sq_distance
-from ..operators import cluster, retrieve
+from ..operators import cluster, retrieve, worklist
 from ..operators.dedupe import near_dedupe
 from ..operators.similarity import knn_graph, projected_neighbours, similar_pairs
 from ..sources.store import stored
@@ -197,7 +197,7 @@ ROUTE3 = ROUTE.replace("{w}", "2")
 
 def routed(t: Tables):
     nodes, edges, leaves = tree(t)
-    return retrieve.beam(asked(t), nodes, edges, leaves, -1, 2, 10, depth=2)
+    return retrieve.beam(asked(t), nodes, edges, leaves, -1, 2, 10)
 
 
 @query("node_scores", f"WITH {ROUTE3} SELECT q, d AS node, round(score, 6) AS score FROM ds")
@@ -337,17 +337,41 @@ def eval_trace(t: Tables):
     return g.join(p, "q").select("q", F.struct("gold", "predicted", F.array_intersect("gold", "predicted").alias("found"), F.array_except("gold", "predicted").alias("missing")).alias("case"))
 
 
+def halves(steps):
+    """steps with the vector qv of their text, which is the id of a vector and the half taken at each circle: 12/0/1."""
+    of = F.split("text", "/")
+    bit = lambda i, level: F.pmod(F.floor(i / F.pow(F.lit(2.0), level)), F.lit(2))
+    taken = lambda i: F.forall(F.transform(F.slice("_h", 2, 100), lambda h, level: bit(i, level) == h.cast("long")), lambda ok: ok)
+    return steps.withColumn("_h", of).withColumn("id", F.col("_h")[0].cast("long")), lambda x, i: F.when(taken(i), x).otherwise(0.0)
+
+
+def refined(t: Tables, mode: str):
+    """Three vectors make a request; a weak step is split into the even and odd components of what is left of its vector."""
+    nodes, edges, leaves = tree(t)
+    v = vectors(t).select("id", "v")
+
+    def found(steps):
+        asked, keep = halves(steps)
+        asked = asked.join(v, "id").withColumn("qv", F.transform("v", keep))
+        key = F.concat_ws(":", F.col("q").cast("string"), F.array_join(F.col("place").cast("array<string>"), "."))
+        got = retrieve.beam(asked.select(key.alias("q"), "qv"), nodes, edges, leaves, -1, 2, 10)[0]
+        return got.join(asked.select(key.alias("k"), F.col("q").alias("request"), "place"), F.col("q") == F.col("k")).select(F.col("request").alias("q"), "place", "rank", "leaf", "score")
+
+    def split(weak):
+        half = lambda h: F.struct(F.concat("text", F.lit(f"/{h}")).alias("text"), F.lit(1).alias("expected"))
+        return weak.select("q", "place", F.array(half(0), half(1)).alias("parts"))
+
+    steps = v.select(F.floor(F.col("id") / 3).alias("q"), (F.col("id") % 3).alias("pos"), F.col("id").cast("string").alias("text"), F.when(F.col("id") % 5 == 0, 2).otherwise(1).alias("expected"))
+    return worklist.work(steps, found, split, mode, many=lambda x: F.lit(False))
+
+
 @query("refine_rounds")
 def refine_rounds(t: Tables):
-    """Two circles: weak steps are replaced by their two halves (the vector's even and odd parts), at most twenty in all."""
-    first = decided(t).withColumn("circle", F.lit(0))
-    w = Window.partitionBy(F.lit(0)).orderBy("q")
-    weak = first.filter("decision = 'refine'").orderBy("q").limit(20).withColumn("turn", F.row_number().over(w))
-    half = weak.select("q", F.explode(F.array(F.lit(0), F.lit(1))).alias("part")).join(vectors(t).withColumnRenamed("id", "q"), "q")
-    child = half.select((F.col("q") * 10 + F.col("part")).alias("q"), F.transform("v", lambda x, i: F.when(i % 2 == F.col("part"), x).otherwise(0.0)).alias("qv"))
-    nodes, edges, leaves = tree(t)
-    found = retrieve.beam(child, nodes, edges, leaves, -1, 2, 10, depth=2)[0]
-    m = retrieve.margins(found)
-    d = retrieve.decision(F.lit(1), F.round("top_score", 9), F.round("margin", 9), F.lit(False))
-    second = m.select("q", "top_score", d.alias("d")).select("q", "top_score", "d.decision", F.when(F.col("d.decision") == "refine", F.concat("d.reason", F.lit("_max_circles"))).otherwise(F.col("d.reason")).alias("reason"), F.lit(1).alias("circle"))
-    return first.unionByName(second).select("q", "circle", "decision", "reason")
+    """Traces of the refining mode with at most three circles, a budget of each request, and the reasons that end a step."""
+    return refined(t, "recursive_decompose").traces.select("q", F.array_join(F.col("place").cast("array<string>"), ".").alias("step"), "circle", "text", "decision", "reason", F.round("top_score", 6).alias("top_score"))
+
+
+@query("refined_pool")
+def refined_pool(t: Tables):
+    """Leaves of all steps of a request and their refinements, pooled by rank."""
+    return refined(t, "refined_decompose").pool.select("q", "rank", "leaf", "score")

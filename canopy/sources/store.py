@@ -14,8 +14,11 @@ CATALOG = "name string, signature string, doc string, id string, source string,
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where the session names none, a temporary one on a single machine only."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="canopy-")
         spark.sparkContext.setCheckpointDir(known)
     return known
