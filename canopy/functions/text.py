@@ -119,6 +119,18 @@ def parse_steps(raw: Column, fallback: Column, most: int = 8) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(fallback.alias("text"), F.lit(1).alias("expected_tools"))))
 
 
+def parse_enrichment(raw: Column, name: Column) -> Column:
+    """The enrichment in a reply: intent_phrase, input_kind, output_kind, synonyms, example_queries. Keys beyond these are
+    dropped, missing ones are empty; a reply that is no JSON, or null, gives a record made of the name."""
+    v = F.try_parse_json(without_fence(raw))
+    one = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "string"), F.lit(""))
+    many = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "array<string>"), F.array().cast("array<string>"))
+    given = {"intent_phrase": one("intent_phrase"), "input_kind": one("input_kind"), "output_kind": one("output_kind"), "synonyms": many("synonyms"), "example_queries": many("example_queries")}
+    # The record of a reply that cannot be read.
+    plain = {"intent_phrase": name, "input_kind": F.lit("input"), "output_kind": F.lit("output"), "synonyms": F.array().cast("array<string>"), "example_queries": F.array(name)}
+    return F.struct(*[F.when(v.isNull(), plain[k]).otherwise(x).alias(k) for k, x in given.items()])
+
+
 def distinct_by_lower(items: Column) -> Column:
     """Items without those equal to an earlier one but for case."""
     return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))

@@ -135,6 +135,32 @@ def soft_step(rows: DataFrame, cents: DataFrame, alpha: float, key: str = "label
     return m.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
+def soft_cluster(rows: DataFrame, cents: DataFrame, rounds: int, most_alpha: float, balance: float, tol: float, exponent: float = 2.0, key: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(labels id, k, d2; centroids k, centroid) of annealed soft clustering from the given centroids.
+
+    Round by round the softmax sharpens from 0 to most_alpha, and centroids become weighted means. It ends where the
+    shift of all centroids plus `balance` times the sum of squared shares changes by less than tol. A weight that a cluster
+    of little mass gives to all its rows alike has no part in its mean, so it is not worked out. Labels are those of most_alpha:
+    the nearest centroid, ties to the smaller k. With the first alpha at 0 all centroids meet in the mean of all rows.
+    """
+    now, before = stored(cents.select(F.col(key).cast("long").alias("k"), "centroid"), "centroids"), float("inf")
+    for step in range(rounds):
+        alpha = most_alpha * (step / (rounds - 1)) ** exponent if rounds > 1 else most_alpha
+        s = stored(soft_assign(rows, now, alpha, "k"), "soft")
+        m = s.select("k", "weight", F.posexplode("v").alias("pos", "x")).groupBy("k", "pos").agg((F.sum(F.col("weight") * F.col("x")) / (F.sum("weight") + 1e-12)).alias("m"), F.sum("weight").alias("mass"))
+        new = m.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"), F.max("mass").alias("mass"))
+        new = stored(new, "centroids")
+        moved = new.join(now.withColumnRenamed("centroid", "old"), "k").agg(F.sum(sq_distance(F.col("centroid"), F.col("old"))).alias("shift"), F.sum("mass").alias("all"), F.sum(F.col("mass") * F.col("mass")).alias("squares")).first()
+        now = new.select("k", "centroid")
+        if moved["all"] is None:
+            break
+        goal = moved["shift"] ** 0.5 + balance * moved["squares"] / moved["all"] ** 2
+        if abs(before - goal) < tol:
+            break
+        before = goal
+    return nearest(distances(rows, now, "k"), []), now
+
+
 def split_large(rows: DataFrame, cents: DataFrame, most: int, key: str = "label") -> DataFrame:
     """(id, cluster, half): each cluster over `most` rows cut once, the nearer half by (distance to the centroid, id) first."""
     if most < 1:

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.vec import sq_distance
+from ..sources.store import stored
+
 BLOCK = 4096
 
 
@@ -48,9 +51,10 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(find, "a long, b long, cosine double")
 
 
-def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
-    """(i, rank, j, distance): the k nearest others by cosine distance, ties to the smaller id."""
+def knn_graph(vectors: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """(i, rank, j, distance): the k nearest others by cosine distance, ties to the smaller id; of the ids in `asked` alone, if given."""
     left, right = _by_blocks(vectors, False)
+    left = left if asked is None else left.join(asked.select("id"), "id", "left_semi")
 
     def find(a, b):
         import pandas as pd
@@ -71,26 +75,62 @@ def knn_graph(vectors: DataFrame, k: int) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", "distance")
 
 
-def projected_neighbours(unit: DataFrame, k: int, reach: float = 1.15, length: float = 1.5, tables: int = 6, seed: int = 1) -> DataFrame:
-    """As knn_graph, approximately: random projections of unit vectors (id, v) put near ones into common buckets, and pairs
-    within the Euclidean distance `reach` are ranked. Neighbours that share no bucket or lie beyond are not found."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def probed_neighbours(unit: DataFrame, k: int, share: float = 0.5, spill: int = 2, most_lists: int = 1024, seed: int = 0) -> DataFrame:
+    """As knn_graph, approximately, of unit vectors (id, v): each is compared with those of the lists nearest to it.
+
+    Some rows are the centres of the lists, the square root of their number and `most_lists` at most; each row belongs to the
+    lists of its `spill` nearest centres and probes the nearest `share` of all lists. On vectors without any structure half of
+    the lists gives a recall above 0.9, by comparing three quarters of all pairs; on clustered ones a smaller share does. Lists and probes are cut into blocks, a task a
+    pair. Rows that find fewer than k are searched exactly, so every row has min(k, rows - 1).
+    """
+    from .cluster import initial_centroids
+
+    n = unit.count()
+    lists = max(1, min(most_lists, int(n**0.5)))
+    cents = initial_centroids(unit, lists, seed).agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))
+    by = F.transform(F.array_sort(F.transform("cs", lambda c: F.struct(sq_distance(c["centroid"], F.col("v")).alias("d"), c["label"].alias("l")))), lambda x: x["l"])
+    dealt = unit.select("id", F.col("v").cast("array<double>").alias("v")).join(F.broadcast(cents)).select("id", "v", F.slice(by, 1, max(min(spill, lists), int(np.ceil(lists * share)))).alias("near"))
+    dealt = stored(dealt, "probes")
+    blocks = max(1, -(-n // BLOCK))
+    own = F.explode(F.slice("near", 1, spill)).alias("list")
+    sizes = dealt.select(own).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
+    part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    left = dealt.select("id", "v", F.explode("near").alias("list"), part.alias("i")).join(F.broadcast(sizes), "list").select("id", "v", "list", "i", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("j"))
+    right = dealt.select(F.col("id").alias("rid"), F.col("v").alias("rv"), own).join(F.broadcast(sizes), "list")
+    right = right.select("rid", "rv", F.col("list").alias("rl"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ri"), F.pmod(F.xxhash64("rid"), F.col("cut")).cast("int").alias("rj"))
+
+    def find(a, b):
+        import pandas as pd
+
+        out = {"i": [], "j": [], "distance": []}
+        if not (a.empty or b.empty):
+            d = np.clip(1 - _cosines(a, b), 0, 2)
+            x, y = a["id"].to_numpy(), b["rid"].to_numpy()
+            d[x[:, None] == y[None]] = np.inf
+            take = min(len(y), k + 8)
+            at = np.argpartition(d, take - 1, axis=1)[:, :take]
+            out = {"i": np.repeat(x, take), "j": y[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()}
+        got = pd.DataFrame(out)
+        return got[np.isfinite(got["distance"].astype(float))].astype({"i": "int64", "j": "int64"})
 
-    rows = unit.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, reach, "d").select(F.col("datasetA.id").alias("i"), F.col("datasetB.id").alias("j"), "d").filter("i <> j")
-    w = Window.partitionBy("i").orderBy("d", "j")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", (F.col("d") * F.col("d") / 2).alias("distance"))
+    got = left.groupBy("list", "i", "j").cogroup(right.groupBy("rl", "ri", "rj")).applyInPandas(find, "i long, j long, distance double")
+    got = got.groupBy("i", "j").agg(F.min("distance").alias("distance"))
+    w = Window.partitionBy("i").orderBy("distance", "j")
+    best = stored(got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("i", "rank", "j", "distance"), "near")
+    full = best.filter(F.col("rank") == min(k, max(n - 1, 1))).select(F.col("i").alias("id"))
+    rest = stored(unit.select("id").join(full, "id", "left_anti"), "rest")
+    if rest.isEmpty():
+        return best
+    return best.join(rest.withColumnRenamed("id", "i"), "i", "left_anti").unionByName(knn_graph(unit, k, rest))
 
 
 def neighbours(unit: DataFrame, k: int, backend: str = "auto", exact_below: int = 2000) -> DataFrame:
-    """(i, rank, j, distance) by the backend named: exact, projected, or auto, which is exact below `exact_below` rows.
+    """(i, rank, j, distance) by the backend named: exact, probed, or auto, which is exact below `exact_below` rows.
 
     Exact stays the way out at every size where no neighbour may be missed: its tasks are bounded, their number is quadratic.
     """
-    if backend not in ("auto", "exact", "projected"):
-        raise ValueError("the backend is auto, exact or projected")
+    if backend not in ("auto", "exact", "probed"):
+        raise ValueError("the backend is auto, exact or probed")
     if backend == "exact" or backend == "auto" and unit.count() < exact_below:
         return knn_graph(unit, k)
-    return projected_neighbours(unit, k)
+    return probed_neighbours(unit, k)

@@ -163,6 +163,14 @@ def enrich_items(t: Tables):
     return enrichment(t("documents"))
 
 
+@query("parse_enrichment", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN 'do ' || event_type ELSE '' END AS intent_phrase, CASE WHEN event_id % 3 = 0 THEN 'input' WHEN event_id % 3 = 1 THEN 'row' ELSE '' END AS input_kind, CASE WHEN event_id % 3 = 0 THEN [event_type] WHEN event_id % 3 = 1 THEN ['a', event_type] ELSE []::VARCHAR[] END AS example_queries FROM events")
+def parse_enrichment(t: Tables):
+    """Replies of a provider: no JSON, a fenced object, and an object without the keys asked for."""
+    good = F.concat(F.lit('```json\n{"intent_phrase": "do '), "event_type", F.lit('", "input_kind": "row", "output_kind": "o", "other": [1], "example_queries": ["a", "'), "event_type", F.lit('"]}\n```'))
+    raw = F.when(F.col("event_id") % 3 == 0, "sorry").when(F.col("event_id") % 3 == 1, good).otherwise('{"x": 1}')
+    return t("events").select("event_id", text.parse_enrichment(raw, F.col("event_type")).alias("e")).select("event_id", "e.intent_phrase", "e.input_kind", "e.example_queries")
+
+
 @query("leaf_text", ENRICH_SQL + " SELECT doc_id, 'perform a ' || noun || chr(10) || 'input: ' || noun || ' specification' || chr(10) || 'output: resulting ' || noun || chr(10) || 'queries: perform the ' || noun || ' | please perform a ' || noun || ' for me | how do I perform a ' || noun || ' | perform ' || noun || ' in the system | can you perform this ' || noun AS leaf FROM n")
 def leaf_text(t: Tables):
     e = enrichment(t("documents"))

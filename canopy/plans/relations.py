@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import hierarchy, planner, search
-from ..sources.store import shared_dir
+from ..operators import hierarchy, planner, runs, search
+from ..sources.store import shared_dir, stored
 from ..streaming import feedback
 from .registry import Tables, query
 
@@ -126,21 +126,61 @@ def replan_carry(t: Tables):
     return planner.replan(s, new)
 
 
-@query("plan_quality", f"""WITH {STEPS}, q AS (SELECT run, count(*) AS n, count(*) FILTER (WHERE status <> 'pending') AS done, count(*) FILTER (WHERE status = 'done') AS grounded FROM s GROUP BY run)
-SELECT run, round(0.3 * done / n + 0.2 * 1 + 0.2 * 1 + 0.15 * grounded / n + 0.1 * 1 + 0.05 * 1, 6) AS score FROM q""")
+RUNS = """s AS (SELECT l_orderkey AS run, l_linenumber AS step, max(CASE WHEN l_discount > 0.08 THEN 'failed' WHEN l_returnflag = 'R' THEN 'done' WHEN l_returnflag = 'A' THEN 'skipped' ELSE 'pending' END) AS status,
+  max(CASE WHEN l_linenumber % 3 = 0 THEN 'reason' ELSE 'tool' END) AS kind, max(CASE WHEN l_quantity > 10 THEN 'w' END) AS capability, max(l_linestatus) AS got FROM lineitem GROUP BY 1, 2),
+x AS (SELECT s.run, count(*) AS n, count(*) FILTER (WHERE status IN ('done', 'skipped')) AS done, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE kind <> 'reason') AS exec,
+  count(*) FILTER (WHERE kind <> 'reason' AND capability IS NOT NULL) AS grounded, count(*) FILTER (WHERE step % 2 = 1) AS checked, count(*) FILTER (WHERE step % 2 = 1 AND got = o_orderstatus) AS matched FROM s JOIN orders ON o_orderkey = s.run GROUP BY s.run),
+y AS (SELECT *, (run % 5 = 0)::INT AS missing, (run % 7 = 0 AND n >= 2)::INT AS cyc FROM x),
+e AS (SELECT run, missing + cyc + exec - grounded + checked - matched AS faults, round(0.3 * done / n + 0.2 * greatest(0, 1 - (missing + cyc) / n) + 0.2 * CASE WHEN checked > 0 THEN matched / checked ELSE 1 END + 0.15 * CASE WHEN exec > 0 THEN grounded / exec ELSE 1 END
+  + 0.1 * CASE WHEN run % 2 = 0 THEN (failed = 0)::INT ELSE greatest(0, 1 - failed / n) END + 0.05 * CASE WHEN run % 3 = 0 THEN (run % 4) / 4 ELSE 1 END, 6) AS score FROM y)"""
+
+
+def evaluated(t: Tables):
+    """Orders as runs: lines are steps of a chain. A fifth of the runs depends on a step that is not there, a seventh on its own
+    end; observed states are the line's, expected ones the order's, of every other step."""
+    status = F.when(F.col("l_discount") > 0.08, "failed").when(F.col("l_returnflag") == "R", "done").when(F.col("l_returnflag") == "A", "skipped").otherwise("pending")
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "reason").otherwise("tool")
+    known = t("orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("value"))
+    s = t("lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("step")).agg(F.max(status).alias("status"), F.max(kind).alias("kind"), F.max(F.when(F.col("l_quantity") > 10, "w")).alias("capability"), F.max("l_linestatus").alias("got"))
+    s = stored(s.join(known.select("run"), "run", "left_semi"), "steps")
+    ends = s.groupBy("run").agg(F.min("step").alias("step"), F.max("step").alias("last"))
+    chain = s.select("run", "step", F.lag("step").over(Window.partitionBy("run").orderBy("step")).alias("dep"))
+    lost = ends.filter("run % 5 = 0").select("run", "step", (F.col("last") + 1).alias("dep"))
+    back = ends.filter("run % 7 = 0 and step <> last").select("run", "step", F.col("last").alias("dep"))
+    told = lambda v: F.explode(F.create_map(F.lit("status"), v)).alias("key", "value")
+    expected = s.join(known, "run").select("run", "step", told(F.col("value")))
+    observed = s.filter("step % 2 = 1").select("run", "step", told(F.col("got")))
+    plans = ends.select("run", (1 + F.col("run") % 2).alias("version"), F.when(F.col("run") % 3 == 0, F.col("run") % 4 / 4).alias("efficiency"))
+    return runs.evaluate(s, chain.unionByName(lost).unionByName(back), expected, observed, plans)
+
+
+@query("plan_quality", f"WITH {RUNS} SELECT run, score, faults FROM e")
 def plan_quality(t: Tables):
-    c = steps(t).groupBy("run").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("status") != "pending").alias("done"), F.count_if(F.col("status") == "done").alias("grounded"))
-    zero = F.lit(0)
-    plans = c.select("*", zero.alias("failed"), zero.alias("issues"), zero.alias("matched"), zero.alias("checked"), F.col("steps").alias("executable"), F.lit(1).alias("version"), F.lit(None).cast("double").alias("efficiency"))
-    return planner.quality(plans).select("run", "score")
+    return evaluated(t).select("run", "score", "faults")
+
+
+@query("finalize_runs", f"WITH {RUNS} SELECT run, CASE WHEN faults = 0 THEN 'completed' ELSE 'failed' END AS status FROM e")
+def finalize_runs(t: Tables):
+    return runs.finalize(evaluated(t))
 
 
 @query("planner_benchmark")
 def planner_benchmark(t: Tables):
-    """Share of runs whose quality reaches each floor."""
-    q = plan_quality(t)
-    floors = t.spark.range(5, 10).select((F.col("id") / 10).alias("floor"))
-    return q.join(F.broadcast(floors)).groupBy("floor").agg(F.round(F.avg((F.col("score") >= F.col("floor")).cast("int")), 6).alias("passed"))
+    """Turns of conversations as cases of the planning benchmark: its six components, score and verdict."""
+    strings = lambda *x: F.array(*map(F.lit, x))
+    cases = t("conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("query"), F.lit(2).alias("min_steps"), F.lit(4).alias("max_steps"), strings("validate", "tool").alias("kinds"),
+        strings("request", "result").alias("terms"), strings("must", "by").alias("constraints"), strings("query may contain branching choices").alias("notes"), F.lit(2).alias("min_grounded"), F.lit(0.7).alias("floor"),
+    )
+    return runs.benchmark(cases, CAPABILITIES)
+
+
+@query("state_fold", "WITH v AS (SELECT user_id AS run, event_type AS key, arg_max(value, event_id) AS value, arg_max(event_id % 11 = 0, event_id) AS gone FROM events GROUP BY 1, 2) SELECT run, key, CAST(round(value * 1000) AS BIGINT) AS value FROM v WHERE NOT gone")
+def state_fold(t: Tables):
+    """The state after a log in which every eleventh event sets its key and removes it again."""
+    e = t("events")
+    log = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.create_map("event_type", F.round(F.col("value") * 1000).cast("long").cast("string")).alias("set"), F.when(F.col("event_id") % 11 == 0, F.array("event_type")).alias("remove"))
+    return runs.fold_state(log)[0].select("run", "key", F.col("value").cast("long").alias("value"))
 
 
 @query("state_transitions", "WITH x AS (SELECT o_orderkey AS run, 'status' AS key, o_orderstatus AS expected FROM orders), o AS (SELECT l_orderkey AS run, 'status' AS key, max(l_linestatus) AS observed FROM lineitem GROUP BY 1) SELECT x.run, x.key, expected = observed AS matched FROM x JOIN o ON o.run = x.run AND o.key = x.key")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.vec import minus, norm, sq_distance
 from ..operators import cluster, retrieve, worklist
 from ..operators.dedupe import near_dedupe
-from ..operators.similarity import knn_graph, projected_neighbours, similar_pairs
+from ..operators.similarity import knn_graph, probed_neighbours, similar_pairs
 from ..sources.store import stored
 from .registry import Tables, query
 
@@ -48,9 +48,9 @@ def knn_graph_query(t: Tables):
 
 @query("ann_knn")
 def ann_knn(t: Tables):
-    """Neighbours within a distance by random projections on unit vectors: approximate, so rows only."""
+    """Neighbours by probing lists of unit vectors: approximate, so rows only; a test holds its recall against knn_graph."""
     unit = vectors(t).select("id", cluster.unit(F.col("v")).alias("v"))
-    return projected_neighbours(unit, 5).withColumn("distance", F.round("distance", 6))
+    return probed_neighbours(unit, 5).withColumn("distance", F.round("distance", 6))
 
 
 @query("threshold_components", "WITH RECURSIVE " + PAIRS + ", e AS (SELECT a, b FROM p WHERE c >= 0.4 UNION ALL SELECT b, a FROM p WHERE c >= 0.4), r AS (SELECT id, id AS root FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY id")

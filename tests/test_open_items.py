@@ -143,7 +143,7 @@ def test_settings(spark, tmp_path):
 
 def test_choices(spark, tmp_path):
     rows = spark.createDataFrame([(i, [float(i == j) + 0.01 * i for j in range(4)]) for i in range(4)], "id long, v array<double>").select("id", cluster.unit(F.col("v")).alias("v"))
-    assert similarity.neighbours(rows, 2).count() == 8 and similarity.neighbours(rows, 2, "projected").count() <= 8
+    assert similarity.neighbours(rows, 2).count() == 8 and similarity.neighbours(rows, 2, "probed").count() == 8
     with pytest.raises(ValueError):
         similarity.neighbours(rows, 2, "other")
     c = cluster.initial_centroids(rows, 6)
