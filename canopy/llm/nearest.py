@@ -21,20 +21,27 @@ def usable(vector: Column) -> Column:
 
 
 class Quantiser:
-    """Product quantiser of `width` components a code, 16 centres each.
+    """Coarse centres, and a product quantiser of `width` components a code, 16 centres each, of what they leave.
 
     For a query q and a vector x, nearness is the inner product of (q, 1) and (x, -|x|^2/2); the last component is
-    kept as it is and x is coded. The loss of a residual r is |r|^2 + (eta - 1) (r.x/|x|)^2: what lies parallel to x
+    kept as it is and x is coded: as the number of its nearest coarse centre, and the rest by parts, so that rows of a dense
+    cluster have codes fine enough to tell them apart. The loss of a residual r is |r|^2 + (eta - 1) (r.x/|x|)^2: what lies parallel to x
     is penalised eta times, as it is what moves the inner products of the queries that x is near to.
     """
 
-    def __init__(self, sample: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 0):
+    def __init__(self, sample: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 8, seed: int = 0, coarse: int = 256):
         self.dim = sample.shape[1]
+        whole, rng = sample.astype(float), np.random.default_rng(seed)
+        self.coarse = whole[rng.choice(len(whole), min(coarse, max(1, len(whole) // 32)), replace=False)]
+        for _ in range(rounds):
+            a = self.home(whole)
+            for k in np.unique(a):
+                self.coarse[k] = whole[a == k].mean(0)
+        unit, sample = self._unit(whole), whole - self.coarse[self.home(whole)]
         self.parts = [np.arange(a, min(a + width, self.dim)) for a in range(0, self.dim, width)]
         if len(self.parts) % 2:
             self.parts.append(np.arange(0))
         self.eta = max(1.0, (self.dim - 1) * threshold**2 / (1 - threshold**2))
-        rng = np.random.default_rng(seed)
         self.centres = []
         for p in self.parts:
             c = sample[rng.choice(len(sample), CENTRES, replace=len(sample) < CENTRES)][:, p].astype(float)
@@ -44,9 +51,8 @@ class Quantiser:
                     if (a == k).any():
                         c[k] = sample[a == k][:, p].mean(0)
             self.centres.append(c)
-        unit = self._unit(sample)
         for _ in range(rounds // 2):
-            codes = self.encode(sample)
+            codes = self._codes(sample, unit)
             par = self._parallel(sample, unit, codes)
             for j, p in enumerate(self.parts):
                 x, u, c = sample[:, p], unit[:, p], self.centres[j]
@@ -71,10 +77,13 @@ class Quantiser:
     def _parallel(self, x: np.ndarray, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return sum(((x[:, p] - self.centres[j][codes[:, j]]) * unit[:, p]).sum(1) for j, p in enumerate(self.parts))
 
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on the anisotropic loss, from the nearest centres."""
-        x = x.astype(float)
-        unit = self._unit(x)
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The nearest coarse centre of each row."""
+        half = (self.coarse * self.coarse).sum(1) / 2
+        return np.concatenate([np.empty(0, np.int64), *((half - x[s : s + 4096] @ self.coarse.T).argmin(1) for s in range(0, len(x), 4096))])
+
+    def _codes(self, x: np.ndarray, unit: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        """Codes of rests by coordinate descent on the anisotropic loss, from the nearest centres."""
         codes = np.stack([self._nearest(x[:, p], self.centres[j]) for j, p in enumerate(self.parts)], 1)
         par = self._parallel(x, unit, codes)
         for _ in range(sweeps):
@@ -88,9 +97,11 @@ class Quantiser:
         return codes.astype(np.uint8)
 
     def packed(self, x: np.ndarray) -> np.ndarray:
-        """Two codes of four bits a byte."""
-        c = self.encode(x)
-        return c[:, 0::2] | (c[:, 1::2] << 4)
+        """A byte of the coarse centre, then two codes of four bits a byte."""
+        x = x.astype(float)
+        a = self.home(x)
+        c = self._codes(x - self.coarse[a], self._unit(x))
+        return np.concatenate([a[:, None].astype(np.uint8), c[:, 0::2] | (c[:, 1::2] << 4)], 1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query and byte of codes, the inner products of its 256 values."""
@@ -183,9 +194,9 @@ STRIP = 128
 def _approximate(quantiser: Quantiser, q: np.ndarray, codes: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Approximate inner products less bias of each query (rows) and code (columns)."""
     t = quantiser.tables(q)
-    score = -np.broadcast_to(bias.astype(np.float32), (len(t), len(codes)))
+    score = np.take(q @ quantiser.coarse.T, codes[:, 0], axis=1) - bias
     for j in range(t.shape[1]):
-        score = score + np.take(t[:, j], codes[:, j], axis=1)
+        score += np.take(t[:, j], codes[:, j + 1], axis=1)
     return score
 
 
