@@ -22,8 +22,9 @@ from .base import per_process, ship, small_batches, stored
 ship(__name__)
 
 SMOOTH = 0.1
-#: Rows of the weight table for each feature: previous word, skip, both.
-ROWS = (8192, 8192, 16384)
+#: Rows of the weight table for each feature (previous word, skip, both) up to FEW tokens; see `feature_rows`.
+ROWS = (16_384, 16_384, 32_768)
+FEW = 1 << 24
 SUFFIXES = 8192  # classes of the rarer words go by a hash of their last four bytes
 TYPES = 24_576  # words with a context signature of their own
 CONTEXTS = 32
@@ -45,7 +46,9 @@ class Model:
     type_of: np.ndarray  # of each vocabulary number
     class_of: np.ndarray = field(default=None)  # of each type
     mass: np.ndarray = field(default=None)  # of each class, with 0.1 a word
-    weights: np.ndarray = field(default=None)  # [sum of ROWS, classes]
+    rows: tuple[int, ...] = ROWS
+    weights: np.ndarray = field(default=None)  # [sum of rows, classes]
+    seen: np.ndarray = field(default=None)  # of each row: how often a task has met it so far, on average
     version: str = ""
 
 
@@ -81,15 +84,30 @@ def _batch(codes_of: _Codes, m: Model, texts: list[str | None]):
     return split, size, codes, types, one, two
 
 
-def _rows(one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+def feature_rows(tokens: int, most: int = 1 << 20) -> tuple[int, ...]:
+    """Rows of each feature: twice as many for each fourfold of tokens above FEW, as distinct histories grow by about
+    the square root. `most` bounds their sum, and so what a worker holds and a broadcast sends (128 bytes a row of 32 classes)."""
+    times = 0
+    while FEW * 4 ** (times + 0.5) < tokens and sum(ROWS) << (times + 1) <= most:
+        times += 1
+    return tuple(r << times for r in ROWS)
+
+
+def _grouped(r: np.ndarray, rows: int) -> np.ndarray:
+    """An order that puts equal rows together; 16 bits at a time are sorted by radix."""
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    return order if rows <= 1 << 16 else order[np.argsort((r >> 16)[order].astype(np.uint16), kind="stable")]
+
+
+def _rows(one: np.ndarray, two: np.ndarray, sizes: tuple[int, ...] = ROWS) -> list[np.ndarray]:
     def mix(x: np.ndarray) -> np.ndarray:
         x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         return (x >> np.uint64(32)) ^ x
 
     a, b = mix(one), mix(two)
     pair = mix(one.astype(np.int64) * 65_537 + two)
-    starts = np.concatenate([[0], np.cumsum(ROWS)[:-1]])
-    return [(h % np.uint64(r)).astype(np.int64) + s for h, r, s in zip((a, b, pair), ROWS, starts)]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return [(h % np.uint64(r)).astype(np.int64) + s for h, r, s in zip((a, b, pair), sizes, starts)]
 
 
 def _logits(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -114,7 +132,7 @@ def _update(m: Model, weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarr
     grad /= grad.sum(1, keepdims=True)
     grad[np.arange(len(target)), target] -= 1
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
+        order = _grouped(r, len(weights))
         own = r[order]
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         total = np.add.reduceat(grad[order], at, axis=0)
@@ -192,9 +210,11 @@ def cluster(sign: np.ndarray, classes: int, rounds: int = 25, seed: int = 0) ->
 def train(docs: DataFrame, text_col: str = "text", classes: int = 32, known: int = 262_144, rounds: int = 1, rate: float = 6.0, batch: int = 4096) -> tuple[Model, DataFrame]:
     """The model of all docs, and the table (word, n) of all their words.
 
-    known: words that each worker holds, with their counts; scoring gets the counts of the rest by a join. Each round
-    every task makes gradient steps over all its tokens from the same weights, and the rows are averaged by how
+    known: words that each worker holds, with their counts; scoring gets the counts of the rest by a join. A hash of the
+    text deals the docs into `rounds` parts, one a round, so each token is trained on once. In a round every task makes
+    gradient steps over its tokens from the weights of the round before, and the rows are averaged by how
     often each task has seen them; the sums go through the square root of the number of tasks at a time.
+    Rows that repeat an id are texts of their own; other columns play no part. Docs without rows give a model that scores.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -216,9 +236,11 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = 32, known: int
     m = Model(vocabulary, top["n"].to_numpy(np.int64), int(total["n"] or 0), int(total["v"] or 0), classes, contexts, type_of)
     m.class_of = cluster(signatures(docs, m, spark.sparkContext.broadcast(m), text_col), classes)
     m.mass = _masses(counts, m)
-    m.weights = np.zeros((sum(ROWS), classes), np.float32)
-    for _ in range(rounds):
-        m.weights = _round(docs, m, text_col, rate, batch)
+    m.rows = feature_rows(m.n)
+    m.weights, m.seen = np.zeros((sum(m.rows), classes), np.float32), np.zeros(sum(m.rows), np.float32)
+    part = F.pmod(F.xxhash64(F.col(text_col)), F.lit(rounds))
+    for r in range(rounds):
+        m.weights, m.seen = _round(docs.filter(part == r), m, text_col, rate, batch)
     m.version = hashlib.sha256(m.weights.tobytes() + m.counts.tobytes()).hexdigest()
     return m, counts
 
@@ -244,7 +266,8 @@ def _masses(counts: DataFrame, m: Model) -> np.ndarray:
     return mass
 
 
-def _round(docs: DataFrame, m: Model, text_col: str, rate: float, batch: int, piece: int = 512) -> np.ndarray:
+def _round(docs: DataFrame, m: Model, text_col: str, rate: float, batch: int, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and counts of the rows after one pass over docs. What a task sends is a row's move in 16 bits and its count."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(m)
 
@@ -253,39 +276,43 @@ def _round(docs: DataFrame, m: Model, text_col: str, rate: float, batch: int, pi
 
         m = shared.value
         codes_of = _Codes(m.vocabulary)
-        weights, seen = m.weights.copy(), np.zeros(len(m.weights), np.int64)
+        weights, seen = m.weights.copy(), m.seen.copy()
         for b in batches:
             if b.num_rows:
                 _, _, _, types, one, two = _batch(codes_of, m, b.column(0).to_pylist())
-                target, rows = m.class_of[types], _rows(one, two)
+                target, rows = m.class_of[types], _rows(one, two, m.rows)
                 for k in range(0, len(target), batch):
                     _update(m, weights, seen, [r[k : k + batch] for r in rows], target[k : k + batch], rate)
-        move = (weights - m.weights) * seen[:, None]
+        seen -= m.seen
         keys, n, w = [], [], []
         for k in range(0, len(seen), piece):
             if seen[k : k + piece].any():
                 keys.append(k)
-                n.append(seen[k : k + piece].astype(np.float64).tobytes())
-                w.append(move[k : k + piece].astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.binary()), pa.array(w, pa.binary())], names=["at", "n", "w"])
+                n.append(seen[k : k + piece].tobytes())
+                w.append((weights[k : k + piece] - m.weights[k : k + piece]).astype(np.float16).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([1] * len(keys), pa.int64()), pa.array(n, pa.binary()), pa.array(w, pa.binary())], names=["at", "k", "n", "w"])
 
-    def add(key, pdf):
+    def mean(key, pdf):
         import pandas as pd
 
-        n = sum(np.frombuffer(x) for x in pdf["n"])
-        w = sum(np.frombuffer(x, np.float32) for x in pdf["w"])
-        return pd.DataFrame({"at": [key[0]], "n": [n.tobytes()], "w": [w.astype(np.float32).tobytes()]})
-
-    kind = "at long, n binary, w binary"
-    groups = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
-    moved = docs.select(text_col).mapInArrow(run, kind).withColumn("_g", F.spark_partition_id() % groups)
-    part = moved.groupBy("at", "_g").applyInPandas(add, kind).groupBy("at").applyInPandas(add, kind)
-    weights = m.weights.copy()
+        total, moved = 0.0, 0.0
+        for n, w in zip(pdf["n"], pdf["w"]):
+            n = np.frombuffer(n, np.float32).astype(np.float64)
+            total = total + n
+            moved = moved + n[:, None] * np.frombuffer(w, np.float16).reshape(len(n), -1)
+        moved = moved / np.maximum(total, 1)[:, None]
+        return pd.DataFrame({"at": [key[0]], "k": [pdf["k"].sum()], "n": [total.astype(np.float32).tobytes()], "w": [moved.astype(np.float16).tobytes()]})
+
+    kind = "at long, k long, n binary, w binary"
+    tasks = max(1, docs.rdd.getNumPartitions())
+    moved = docs.select(text_col).mapInArrow(run, kind).withColumn("_g", F.spark_partition_id() % max(1, round(tasks**0.5)))
+    part = moved.groupBy("at", "_g").applyInPandas(mean, kind).groupBy("at").applyInPandas(mean, kind)
+    weights, seen = m.weights.copy(), m.seen.copy()
     for r in part.collect():  # the weight table
-        n = np.frombuffer(r["n"])
-        w = np.frombuffer(r["w"], np.float32).reshape(len(n), -1)
-        weights[r["at"] : r["at"] + len(n)] += w / np.maximum(n, 1)[:, None].astype(np.float32)
-    return weights
+        n = np.frombuffer(r["n"], np.float32)
+        weights[r["at"] : r["at"] + len(n)] += np.frombuffer(r["w"], np.float16).reshape(len(n), -1)
+        seen[r["at"] : r["at"] + len(n)] += n / r["k"]
+    return weights, seen
 
 
 def score(docs: DataFrame, m: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +336,7 @@ def score(docs: DataFrame, m: Model, counts: DataFrame, id_col: str = "doc_id",
             if not b.num_rows:
                 continue
             split, size, codes, types, one, two = _batch(codes_of, m, b.column("t").to_pylist())
-            target, rows = m.class_of[types], _rows(one, two)
+            target, rows = m.class_of[types], _rows(one, two, m.rows)
             got = np.empty(len(codes))
             for k in range(0, len(codes), 8192):
                 z = _log_softmax(m, m.weights, [r[k : k + 8192] for r in rows])

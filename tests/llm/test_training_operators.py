@@ -254,6 +254,21 @@ def test_lm_base_and_gain(spark):
     assert np.exp(z).sum(1) == pytest.approx(np.ones(5), abs=1e-4)
 
 
+def test_lm_tables_grow_and_rounds_take_each_text_once(spark):
+    sizes = [sum(lm.feature_rows(n)) for n in (0, lm.FEW, 3 * lm.FEW, 12 * lm.FEW, 10**15)]
+    assert sizes[0] == sizes[1] == sum(lm.ROWS) and sizes[2] == 2 * sizes[0] and sizes[3] == 4 * sizes[0] and sizes[4] == 1 << 20
+    r = np.random.default_rng(0).integers(0, 1 << 20, 5000)
+    order = lm._grouped(r, 1 << 20)
+    assert sorted(order.tolist()) == list(range(5000)) and len(set(r.tolist())) == 1 + np.count_nonzero(np.diff(r[order]))
+    texts = [f"a{i % 7} b{i % 7} c{i % 3}" for i in range(60)]
+    model, _ = lm.train(frame(spark, texts).repartition(3), classes=4, known=100, rounds=3)
+    tokens = sum(len(lm.words(t)) for t in texts)
+    # every token meets one row of each feature; a row's count is the mean of the tasks that met it
+    assert 0 < model.seen.sum() <= 3 * tokens and np.isfinite(model.weights).all()
+    one, _ = lm.train(frame(spark, texts).coalesce(1), classes=4, known=100)
+    assert one.seen.sum() == 3 * tokens
+
+
 def test_lm_of_nothing(spark):
     model, counts = lm.train(frame(spark, []), classes=4)
     assert lm.score(frame(spark, []), model, counts).collect() == []
