@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, m: Model, shared, text_col: str) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(**shared.value)
         codes_of = _Codes(m.vocabulary)
         cells = np.zeros((TYPES + SUFFIXES) * CONTEXTS, np.int64)
         contexts = np.concatenate([m.contexts, [CONTEXTS - 1]])
@@ -234,7 +234,7 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = 32, known: int
     contexts = np.full(TYPES + SUFFIXES, CONTEXTS - 1)
     contexts[: min(CONTEXTS - 1, TYPES)] = np.arange(CONTEXTS - 1)
     m = Model(vocabulary, top["n"].to_numpy(np.int64), int(total["n"] or 0), int(total["v"] or 0), classes, contexts, type_of)
-    m.class_of = cluster(signatures(docs, m, spark.sparkContext.broadcast(m), text_col), classes)
+    m.class_of = cluster(signatures(docs, m, spark.sparkContext.broadcast(vars(m)), text_col), classes)
     m.mass = _masses(counts, m)
     m.rows = feature_rows(m.n)
     m.weights, m.seen = np.zeros((sum(m.rows), classes), np.float32), np.zeros(sum(m.rows), np.float32)
@@ -246,12 +246,12 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = 32, known: int
 
 
 def _masses(counts: DataFrame, m: Model) -> np.ndarray:
-    shared = counts.sparkSession.sparkContext.broadcast(m)
+    shared = counts.sparkSession.sparkContext.broadcast(vars(m))
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(**shared.value)
         codes_of = _Codes(m.vocabulary)
         sums = np.zeros(m.classes)
         for b in batches:
@@ -269,12 +269,12 @@ def _masses(counts: DataFrame, m: Model) -> np.ndarray:
 def _round(docs: DataFrame, m: Model, text_col: str, rate: float, batch: int, piece: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Weights and counts of the rows after one pass over docs. What a task sends is a row's move in 16 bits and its count."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(m)
+    shared = spark.sparkContext.broadcast(vars(m))
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(**shared.value)
         codes_of = _Codes(m.vocabulary)
         weights, seen = m.weights.copy(), m.seen.copy()
         for b in batches:
@@ -322,12 +322,12 @@ def score(docs: DataFrame, m: Model, counts: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(m)
+    shared = spark.sparkContext.broadcast(vars(m))
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
+        m = Model(**shared.value)
         codes_of = per_process(("lm", m.version), lambda: _Codes(m.vocabulary))
         known = len(m.vocabulary)
         own = np.log10(np.concatenate([m.counts, [1]]) + SMOOTH)
