@@ -112,21 +112,19 @@ def _rows(one: np.ndarray, two: np.ndarray, sizes: tuple[int, ...] = ROWS) -> li
 
 def _logits(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Sums of the weight rows over the classes' shares, shifted so that the largest of each row is 0."""
-    z = weights[rows[0]] + weights[rows[1]]
-    z += weights[rows[2]]
+    z = weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
     z += np.log(m.mass / m.mass.sum()).astype(np.float32)
     z -= z.max(1, keepdims=True)
     return z
 
 
-def _log_softmax(m: Model, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    z = _logits(m, weights, rows)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
 def _update(m: Model, weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], target: np.ndarray, rate: float) -> None:
-    """One gradient step on a batch; a row's step shrinks with how often it has been seen."""
+    """One gradient step on a batch; a row's step shrinks with how often it has been seen.
+
+    Rows met once, as most pairs are, need no sum.
+    """
     grad = _logits(m, weights, rows)
     np.exp(grad, out=grad)
     grad /= grad.sum(1, keepdims=True)
@@ -135,10 +133,15 @@ def _update(m: Model, weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarr
         order = _grouped(r, len(weights))
         own = r[order]
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        total = np.add.reduceat(grad[order], at, axis=0)
         own, n = own[at], np.diff(np.concatenate([at, [len(order)]]))
+        total = grad.take(order[at], axis=0)
+        more = n > 1
+        if more.any():
+            ends = np.cumsum(n[more])
+            total[more] = np.add.reduceat(grad.take(order[np.repeat(more, n)], axis=0), ends - n[more], axis=0)
         seen[own] += n
-        weights[own] -= rate * total / (seen[own] + 16)[:, None]
+        total *= (rate / (seen[own] + 16))[:, None]
+        weights[own] = weights.take(own, axis=0) - total
 
 
 def count_words(docs: DataFrame, text_col: str, most: int = 400_000) -> DataFrame:
@@ -339,8 +342,9 @@ def score(docs: DataFrame, m: Model, counts: DataFrame, id_col: str = "doc_id",
             target, rows = m.class_of[types], _rows(one, two, m.rows)
             got = np.empty(len(codes))
             for k in range(0, len(codes), 8192):
-                z = _log_softmax(m, m.weights, [r[k : k + 8192] for r in rows])
-                got[k : k + 8192] = z[np.arange(len(z)), target[k : k + 8192]] / np.log(10)
+                z = _logits(m, m.weights, [r[k : k + 8192] for r in rows])
+                aim = z[np.arange(len(z)), target[k : k + 8192]]
+                got[k : k + 8192] = (aim - np.log(np.exp(z, out=z).sum(1))) / np.log(10)
             got -= scale[target]
             top = codes < known
             base = np.where(top, own[np.minimum(codes, len(own) - 1)], 0.0)

@@ -250,8 +250,20 @@ def test_lm_base_and_gain(spark):
     held = [got[i] for i in range(300) if not keep[i]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert model.mass.sum() == pytest.approx(n + 0.1 * (v + model.classes))
-    z = lm._log_softmax(model, model.weights, [np.arange(5)] * 3)
-    assert np.exp(z).sum(1) == pytest.approx(np.ones(5), abs=1e-4)
+
+    def kind(w):
+        return model.type_of[model.vocabulary[w]] if w in model.vocabulary else lm.TYPES + zlib.crc32(w[-4:]) % lm.SUFFIXES
+
+    nothing = lm.TYPES + lm.SUFFIXES
+    for i in [*range(0, 300, 20), 300, 301, 302]:
+        total, before = 0.0, [nothing, nothing]
+        for w in lm.words(texts[i]):
+            at = lm._rows(np.array([before[0]]), np.array([before[1]]), model.rows)
+            z = np.log(model.mass / model.mass.sum()) + sum(model.weights[r[0]].astype(float) for r in at)
+            own = model.class_of[kind(w)]
+            total += (z[own] - np.log(np.exp(z).sum())) / np.log(10) + np.log10((c[w] + 0.1) / model.mass[own])
+            before = [kind(w), before[0]]
+        assert got[i]["score"] == pytest.approx(total, rel=1e-4)
 
 
 def test_lm_tables_grow_and_rounds_take_each_text_once(spark):
@@ -269,6 +281,23 @@ def test_lm_tables_grow_and_rounds_take_each_text_once(spark):
     assert one.seen.sum() == 3 * tokens
 
 
+def test_lm_step_is_the_gradient():
+    rng = np.random.default_rng(1)
+    sizes = (8, 8, 16)
+    model = lm.Model({}, np.ones(1), 1, 1, 4, np.zeros(1), np.zeros(1), mass=rng.random(4) + 0.1, rows=sizes)
+    weights, seen = rng.normal(size=(32, 4)).astype(np.float32), rng.integers(0, 5, 32).astype(np.float32)
+    rows, target = [rng.integers(a, b, 40) for a, b in ((0, 8), (8, 16), (16, 32))], rng.integers(0, 4, 40)
+    z = sum(weights[r].astype(float) for r in rows) + np.log(model.mass / model.mass.sum())
+    grad = np.exp(z) / np.exp(z).sum(1, keepdims=True) - np.eye(4)[target]
+    total, times = np.zeros((32, 4)), np.zeros(32)
+    for r in rows:
+        np.add.at(total, r, grad)
+        np.add.at(times, r, 1)
+    want = weights - 2.0 * total / (seen + times + 16)[:, None]
+    lm._update(model, weights, seen_now := seen.copy(), rows, target, 2.0)
+    assert weights == pytest.approx(want, abs=1e-5) and (seen_now == seen + times).all()
+
+
 def test_lm_of_nothing(spark):
     model, counts = lm.train(frame(spark, []), classes=4)
     assert lm.score(frame(spark, []), model, counts).collect() == []
