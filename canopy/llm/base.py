@@ -55,6 +55,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def from_fields(kind: type, fields: dict):
+    """An object of the fields that `vars` gave. Broadcasts send fields, as a class in them would be looked up by name on the workers."""
+    out = object.__new__(kind)
+    out.__dict__.update(fields)
+    return out
+
+
 def per_process(key, build):
     """A value kept for the life of a Python worker, which serves many tasks. One value per kind, so it stays bounded."""
     kept = sys.__dict__.setdefault("_canopy_kept", {})

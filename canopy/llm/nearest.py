@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import ship, stored
+from .base import from_fields, ship, stored
 
 ship(__name__)
 
@@ -125,15 +125,16 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rows = rows.filter(F.size("v") == usual["d"])
     some = rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
     quantiser = Quantiser(np.array([r["v"] for r in some]))
-    shared = spark.sparkContext.broadcast(quantiser)  # 16 centres a code
+    shared = spark.sparkContext.broadcast(vars(quantiser))  # 16 centres a code
 
     def run(batches):
         import pyarrow as pa
 
+        quantiser = from_fields(Quantiser, shared.value)
         for b in batches:
             if b.num_rows:
                 x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([c.tobytes() for c in shared.value.packed(x)], pa.binary())], names=["id", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array([c.tobytes() for c in quantiser.packed(x)], pa.binary())], names=["id", "v", "codes"])
 
     return stored(rows.mapInArrow(run, "id long, v array<double>, codes binary"), "index"), quantiser
 
@@ -171,13 +172,13 @@ def search(index: DataFrame, quantiser: Quantiser | None, queries: Column, k: in
             continue
         ids, q = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
         first = _first_cell(quantiser, q, codes, bias, rerank, all_rows)
-        shared = spark.sparkContext.broadcast((quantiser, ids, q, first))
+        shared = spark.sparkContext.broadcast((vars(quantiser), ids, q, first))
         counts = np.zeros((len(ids), CELLS), np.int64)
         for r in index.select("v", "codes").mapInArrow(_count(shared), "at long, n binary").groupBy("at").applyInArrow(_add, "at long, n binary").collect():
             counts[r["at"] : r["at"] + STRIP] = np.frombuffer(r["n"], np.int64).reshape(-1, CELLS)
         reach = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] >= rerank  # falling: true up to the last cell that is reached by enough
         cell = np.where(reach.any(1), reach.sum(1) - 1, 0)
-        wanted = spark.sparkContext.broadcast((quantiser, ids, q, first, cell))
+        wanted = spark.sparkContext.broadcast((vars(quantiser), ids, q, first, cell))
         got = stored(index.mapInArrow(_scan(wanted, k), "query_id long, vec_id long, score double"), "found")
         shared.unpersist()
         wanted.unpersist()
@@ -229,7 +230,8 @@ def _count(shared):
     def run(batches):
         import pyarrow as pa
 
-        quantiser, ids, q, (low, step) = shared.value
+        fields, ids, q, (low, step) = shared.value
+        quantiser = from_fields(Quantiser, fields)
         counts = np.zeros((len(ids), CELLS), np.int64)
         for _, _, codes, bias in _blocks(batches):
             for s in range(0, len(ids), STRIP):
@@ -253,7 +255,8 @@ def _scan(shared, k: int):
     def run(batches):
         import pyarrow as pa
 
-        quantiser, ids, q, (low, step), wanted = shared.value
+        fields, ids, q, (low, step), wanted = shared.value
+        quantiser = from_fields(Quantiser, fields)
         none = np.iinfo(np.int64).max
         best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), none)
         for b, x, codes, bias in _blocks(batches):

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fit_isotonic, labelled_sample, per_process, ship, small_batches
+from .base import fit_isotonic, from_fields, labelled_sample, per_process, ship, small_batches
 
 ship(__name__)
 
@@ -300,11 +300,12 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     if "prior" in model:
         return F.struct(F.lit(float(model["prior"])).alias("score"), F.array().cast("array<long>").alias("evidence"))
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * per_class examples of 8,192 terms
+    fields = {k: v for k, v in vars(model["index"]).items() if k != "codes"}  # these are made of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast({**model, "index": fields})  # at most 2 * per_class examples of 8,192 terms
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = per_process(("toxicity", shared.value["version"]), lambda: shared.value)
-        index = m["index"]
+        m = shared.value
+        index = per_process(("toxicity", m["version"]), lambda: from_fields(Index, {**m["index"], "codes": _Codes(m["index"]["vocabulary"])}))
         for batch in batches:
             votes, evidence = [], []
             for text in batch:
