@@ -22,6 +22,16 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+def each_word(text: str | None, part: int = 1 << 20) -> Iterator[bytes]:
+    """The words one after the other; those of a part of the text at a time exist at once."""
+    raw, at = (text or "").encode().translate(FOLD), 0
+    while at < len(raw):
+        cut = raw.find(b" ", at + part)
+        cut = len(raw) if cut < 0 else cut
+        yield from raw[at:cut].split()
+        at = cut
+
+
 def terms(word: bytes) -> tuple[bytes, ...]:
     """The word, and the beginnings of 4 and 5 characters of a longer one, marked: stems that take many endings."""
     s = word.decode("utf-8", "replace")
@@ -29,7 +39,7 @@ def terms(word: bytes) -> tuple[bytes, ...]:
 
 
 class _Codes(dict):
-    """Words to the vocabulary numbers of their terms; emptied when full."""
+    """Words to the vocabulary numbers of their terms; emptied when full, and without words of more than 64 bytes."""
 
     def __init__(self, vocabulary: dict[bytes, int], most: int = 1 << 18):
         self.vocabulary, self.most = vocabulary, most
@@ -37,7 +47,9 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = tuple(i for t in terms(word) if (i := self.vocabulary.get(t)) is not None)
+        got = tuple(i for t in terms(word) if (i := self.vocabulary.get(t)) is not None)
+        if len(word) <= 64:
+            self[word] = got
         return got
 
 
@@ -89,7 +101,7 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counts: dict[int, int] = {}
-        for got in filter(None, map(self.codes.__getitem__, words(text))):
+        for got in filter(None, map(self.codes.__getitem__, each_word(text))):
             for i in got:
                 counts[i] = counts.get(i, 0) + 1
         if not counts:
@@ -139,27 +151,41 @@ class Index:
         return vote(self.labels[best], cosine)
 
 
+def _runs(text: str, n: int) -> np.ndarray:
+    """Hashes of the text's runs of n words, rising, each once."""
+    import xxhash
+
+    got = words(text)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(got[i : i + n])) for i in range(max(len(got) - n + 1, 1))), np.uint64))
+
+
 def unlike(examples: list[tuple[int, str, int]], n: int = 5, least: float = 0.8) -> list[tuple[int, str, int]]:
     """The examples without near copies: those whose word runs have a Jaccard likeness of `least` to a kept example of the same label.
 
-    Exact: of two such sets the smallest hashes, all but the share `least`, have one in common.
+    Exact: of two such sets the smallest hashes, all but the share `least`, have one in common. Sets are sorted arrays, 8 bytes
+    a run, as the driver holds them all at once.
     """
-    import xxhash
-
-    at: dict[tuple[int, int], list[int]] = {}
-    kept, sets = [], []
-    for e in examples:
-        got = words(e[1])
-        runs = {xxhash.xxh64_intdigest(b" ".join(got[i : i + n])) for i in range(max(len(got) - n + 1, 1))}
-        first = sorted(runs)[: len(runs) - int(np.ceil(least * len(runs) - 1e-9)) + 1]
-        near = {k for r in first for k in at.get((e[2], r), ())}
-        if any(len(runs & sets[k]) >= least * len(runs | sets[k]) - 1e-9 for k in near):
-            continue
-        for r in first:
-            at.setdefault((e[2], r), []).append(len(sets))
-        sets.append(runs)
-        kept.append(e)
-    return kept
+    sets = [_runs(text, n) for _, text, _ in examples]
+    heads = [r[: len(r) - int(np.ceil(least * len(r) - 1e-9)) + 1] for r in sets]
+    run = np.concatenate([np.empty(0, np.uint64), *heads])
+    owner = np.repeat(np.arange(len(heads), dtype=np.int32), [len(h) for h in heads])
+    order = np.argsort(run, kind="stable")
+    run, owner = run[order], owner[order]
+    labels, size = np.array([y for _, _, y in examples]), np.array([len(r) for r in sets])
+    kept = np.zeros(len(examples), bool)
+    for k, head in enumerate(heads):
+        near = np.zeros(len(examples), bool)
+        first, last = np.searchsorted(run, head, "left"), np.searchsorted(run, head, "right")
+        for f, l in zip(first[last - first > 1], last[last - first > 1]):
+            near[owner[f:l]] = True
+        near &= kept & (labels == labels[k]) & (np.minimum(size, size[k]) >= least * np.maximum(size, size[k]) - 1e-9)
+        for o in np.flatnonzero(near):
+            both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+            if both >= least * (size[k] + size[o] - both) - 1e-9:
+                break
+        else:
+            kept[k] = True
+    return [e for e, keep in zip(examples, kept) if keep]
 
 
 #: Bounds of the log-likelihood ratio of a term and the label, of which cross-validation takes one.
@@ -172,10 +198,10 @@ def occurrences(examples: list[tuple[int, str, int]]) -> tuple[list[bytes], np.n
     rows, cols, times = [], [], []
     for k, (_, text, _) in enumerate(examples):
         n = Counter(t for w in words(text) for t in terms(w))
-        rows.append(np.full(len(n), k))
-        cols.append(np.fromiter((number.setdefault(t, len(number)) for t in n), np.int64, len(n)))
-        times.append(np.fromiter(n.values(), np.int64, len(n)))
-    return list(number), *(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, cols, times))
+        rows.append(np.full(len(n), k, np.int32))
+        cols.append(np.fromiter((number.setdefault(t, len(number)) for t in n), np.int32, len(n)))
+        times.append(np.fromiter(n.values(), np.int32, len(n)))
+    return list(number), *(np.concatenate(x) if x else np.empty(0, np.int32) for x in (rows, cols, times))
 
 
 def ratios(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, use: np.ndarray, n_terms: int) -> np.ndarray:
@@ -214,11 +240,16 @@ def held_out_votes(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, weight: np
         place = np.full(len(g), -1)
         place[chosen] = np.arange(len(chosen))
         mine = place[cols] >= 0
-        x = np.zeros((len(y), max(len(chosen), 1)), np.float32)
-        x[rows[mine], place[cols[mine]]] = weight[mine]
-        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
+
+        def unit(use):  # made apart for either side, as a copy of all of them would be the most the driver holds
+            at, pick = np.cumsum(use) - 1, mine & use[rows]
+            x = np.zeros((int(use.sum()), max(len(chosen), 1)), np.float32)
+            x[at[rows[pick]], place[cols[pick]]] = weight[pick]
+            x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-30)
+            return x
+
         others = np.flatnonzero(~test)
-        cosine = x[test] @ x[others].T
+        cosine = unit(test) @ unit(~test).T
         best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
         for i, b, c in zip(np.flatnonzero(test), best, np.take_along_axis(cosine, best, 1).astype(float)):
             out[i] = vote(y[others[b]], c)
@@ -237,7 +268,7 @@ def document_counts(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n[-1] += 1
-                have = {i for got in filter(None, map(codes.__getitem__, set(words(text)))) for i in got}
+                have = {i for got in filter(None, map(codes.__getitem__, set(each_word(text)))) for i in got}
                 n[list(have)] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])

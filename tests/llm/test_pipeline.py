@@ -1,11 +1,13 @@
 """The pipeline's stages, each on its own input, and the queries that SQL can express."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
 
 import corpus_pipeline as cp
+from canopy.llm import toxicity
 from canopy.llm.base import stored
 from canopy.llm.jaccard import apart, bitmap, can_reach, likeness, near_copies, shingles
 from canopy.llm.queries import ORACLES, QUERIES
@@ -127,3 +129,45 @@ def test_sql(spark):
         got = QUERIES[name](spark, SF)
         assert sorted(got.columns) == sorted(want.columns)
         assert sorted(map(repr, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def most_mb(run):
+    """MB that run() allocates at most beyond what was there."""
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_toxicity_stage_holds_few_bytes_a_word():
+    rng = random.Random(11)
+    names = [f"word{i}" for i in range(5000)]
+    examples = [(i, " ".join(rng.choices(names, k=1000)), i % 2) for i in range(300)]
+    kept = []
+    assert most_mb(lambda: kept.extend(toxicity.unlike(examples))) < 20  # 300,000 runs
+    assert kept == examples
+    index = toxicity.Index(examples[:10], None, 10, {b"word1": 0, b"word2": 1})
+    text = " ".join(t for _, t, _ in examples) * 2
+    assert most_mb(lambda: index.vector(text)) < 4 * len(text) / 1e6  # text of 5 MB, 600,000 words
+
+
+def test_toxicity_words_in_parts_and_near_copies_as_before():
+    rng = random.Random(12)
+    text = "".join(rng.choice(["ab", "É", " ", "-", "x9", "\n", "\u3000"]) for _ in range(3000))
+    for part in (1, 2, 7, 100, 1 << 20):
+        assert list(toxicity.each_word(text, part)) == toxicity.words(text)
+    assert list(toxicity.each_word(None)) == []
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(8)]
+    examples = [(0, "", 0), (1, "", 0), (2, "", 1)]
+    for i in range(3, 120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(60)] = "changed"
+        examples.append((i, " ".join(w), rng.randrange(2)))
+    want = []
+    for e in examples:
+        if not any(k[2] == e[2] and likeness(shingles(k[1]), shingles(e[1])) >= 0.8 for k in want):
+            want.append(e)
+    assert toxicity.unlike(examples) == want
+    assert toxicity.unlike([]) == []
