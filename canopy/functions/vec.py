@@ -29,3 +29,9 @@ def sq_distance(a: Column, b: Column) -> Column:
 
 def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as SQL does it: what rounds to zero keeps its sign, which F.round drops."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
