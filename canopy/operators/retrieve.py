@@ -22,34 +22,43 @@ def node_scores(frontier: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     return own.join(best, ["q", "node"]).withColumn("score", F.greatest("own", F.coalesce("best", "own"))).drop("best")
 
 
-def beam(queries: DataFrame, nodes: DataFrame, edges: DataFrame, leaves: DataFrame, root: int, width: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """(q, rank, leaf, score) and (q, level, node) of routing all queries through the tree at once, whatever its depth.
+def descend(queries: DataFrame, nodes: DataFrame, edges: DataFrame, root: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(q, parent, parent_rank) of the nodes at which the routes of the queries end, and (q, level, node) of their best nodes.
 
-    At each level the `width` best nodes stay, ties to the better parent and the earlier child. When the frontier of a query
-    has no inner children, its leaves are ranked by their own cosine. leaves: parent, pos, leaf, v, n. One join a level,
-    whatever the number of queries; each level's nodes are stored, so no level is worked out again. More levels than the
-    tree has inner nodes raise, as only a cycle has them.
+    At each level the `width` best nodes stay, ties to the better parent and the earlier child. One join a level, whatever the
+    number of queries; each level's nodes are stored, so no level is worked out again. No leaf is looked at. More levels than
+    the tree has inner nodes raise, as only a cycle has them.
     """
     q = queries.select("q", "qv", norm(F.col("qv")).alias("qn"))
     front = q.join(edges.filter(F.col("parent") == root)).select("q", "qv", "qn", F.col("child").alias("node"), F.lit(0).alias("parent_rank"), "pos")
-    found, path, level, most = None, None, 0, edges.count()
+    ends, path, level, most = None, None, 0, edges.count()
     w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "parent_rank", "pos")
     while True:
         kept = node_scores(front, nodes, edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= width)
         kept = stored(kept.select("q", "node", "rank"), "beam")
-        if kept.isEmpty() and found is not None:
-            break
+        if kept.isEmpty() and ends is not None:
+            return ends, path
         if level > most:
             raise ValueError("the edges make a cycle")
         top = kept.filter("rank = 1").select("q", F.lit(level).alias("level"), "node")
         path = top if path is None else path.unionByName(top)
         down = kept.select("q", F.col("node").alias("parent"), F.col("rank").alias("parent_rank")).join(edges, "parent", "left")
         more = down.withColumn("more", F.max(F.col("child").isNotNull()).over(Window.partitionBy("q")))
-        ends = more.filter("not more").select("q", "parent", "parent_rank").join(q, "q").join(leaves, "parent")
-        ends = ends.select("q", "leaf", "parent_rank", "pos", cosine(F.col("v"), F.col("qv"), F.col("n"), F.col("qn")).alias("score"))
-        found = ends if found is None else found.unionByName(ends)
+        last = more.filter("not more").select("q", "parent", "parent_rank")
+        ends = last if ends is None else ends.unionByName(last)
         front = more.filter("more and child is not null").select("q", F.col("child").alias("node"), "parent_rank", "pos").join(q, "q")
         level += 1
+
+
+def beam(queries: DataFrame, nodes: DataFrame, edges: DataFrame, leaves: DataFrame, root: int, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(q, rank, leaf, score) and (q, level, node) of routing all queries through the tree at once, whatever its depth.
+
+    When the frontier of a query has no inner children, its leaves are ranked by their own cosine. leaves: parent, pos, leaf, v, n.
+    """
+    ends, path = descend(queries, nodes, edges, root, width)
+    q = queries.select("q", "qv", norm(F.col("qv")).alias("qn"))
+    found = ends.join(q, "q").join(leaves, "parent").select("q", "leaf", "parent_rank", "pos", cosine(F.col("v"), F.col("qv"), F.col("n"), F.col("qn")).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "parent_rank", "pos")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "leaf", "score")
     return stored(ranked, "found"), path
 

@@ -24,3 +24,10 @@ def test_zero_keeps_its_sign_and_null_labels_meet_nothing(spark, tmp_path, name)
     got = QUERIES[name](spark, at).select(value).collect()
     assert sorted(repr(list(r[0])) for r in got) == sorted(repr(list(r[0])) for r in want)
     assert any("-0.0" in repr(r[0]) for r in want)
+
+
+def test_no_leaf_is_scored_for_a_path(spark, tmp_path, monkeypatch):
+    from canopy.operators import retrieve
+
+    monkeypatch.setattr(retrieve, "beam", lambda *_: pytest.fail("leaves were ranked"))
+    assert QUERIES["beam_path"](spark, "/root/testdata/sf0.001").count() > 0
