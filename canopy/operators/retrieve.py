@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vec import cosine, norm
 from ..sources.store import stored
+from .similarity import closest, matrix, sides
+
+#: Rows of a block of queries or leaves.
+BLOCK = 16_384
 
 # Below these a step is weak.
 LOW_SCORE, LOW_MARGIN = 0.35, 0.03
@@ -50,17 +57,58 @@ def descend(queries: DataFrame, nodes: DataFrame, edges: DataFrame, root: int, w
         level += 1
 
 
+def ranked_leaves(ends: DataFrame, queries: DataFrame, leaves: DataFrame, k: int, few: int = 64) -> DataFrame:
+    """(q, rank, leaf, score): the k best leaves (parent, pos, leaf, v, n) of the parents of each query, by their cosine, ties to
+    the better parent and the earlier leaf.
+
+    Where parents have many leaves, queries and leaves are dealt into blocks by parent, and a task multiplies two blocks and lets
+    the k best of each query out: every pair is compared, but none is a row. Parents of at most `few` leaves go by a join, and so
+    do vectors that are null, of a rare length or not finite, which a matrix cannot hold.
+    """
+    q = queries.select("q", "qv", norm(F.col("qv")).alias("qn"))
+    ends = stored(ends.select("q", "parent", "parent_rank"), "ends")
+    long = leaves.groupBy(F.size("v").alias("len")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "len").first()
+    plain = lambda v: F.coalesce((F.size(v) == (long["len"] if long else 0)) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+    asks = ends.groupBy("parent").agg(F.count(F.lit(1)).alias("asks"))
+    cuts = leaves.groupBy("parent").agg(F.count(F.lit(1)).alias("has")).join(asks, "parent")
+    cuts = stored(cuts.select("parent", F.ceil(F.col("asks") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("has") / BLOCK).cast("int").alias("columns"), (F.col("has") > few).alias("large")), "cuts")
+    asked = ends.join(q, "q").join(cuts, "parent").withColumn("block", F.col("large") & plain(F.col("qv")))
+    had = leaves.join(cuts, "parent").withColumn("block", F.col("large") & plain(F.col("v")))
+
+    meets = lambda a, b: a.drop("rows", "columns", "block").join(b.select("parent", "leaf", "pos", "v", "n"), "parent")
+    one = meets(asked.filter("not block"), had).unionByName(meets(asked.filter("block"), had.filter("not block")))
+    one = one.select("q", "parent_rank", "leaf", "pos", cosine(F.col("v"), F.col("qv"), F.col("n"), F.col("qn")).alias("score"))
+
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    left = asked.filter("block").select("parent", part("q", "rows").alias("i"), each("columns").alias("j"), F.lit(0).alias("side"), "q", "parent_rank", none(leaves, "leaf"), none(leaves, "pos"), F.col("qv").alias("v"))
+    right = had.filter("block").select("parent", each("rows").alias("i"), part("leaf", "columns").alias("j"), F.lit(1).alias("side"), none(ends, "q"), none(ends, "parent_rank"), "leaf", "pos", "v")
+    cells = cuts.filter("large").agg(F.sum(F.col("rows") * F.col("columns")).alias("n")).first()["n"] or 1
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = sides(batches)
+        if not (len(a) and len(b)):
+            return
+        b = b.sort_by("pos")
+        for i, j, c in closest(matrix(a["v"]), matrix(b["v"]), k, digits=9):
+            got = [a[n].take(i).combine_chunks() for n in ("q", "parent_rank")] + [b[n].take(j).combine_chunks() for n in ("leaf", "pos")]
+            yield pa.RecordBatch.from_arrays([*got, pa.array(c)], names=["q", "parent_rank", "leaf", "pos", "score"])
+
+    dealt = left.unionByName(right).repartition(int(cells), "parent", "i", "j")
+    blocks = dealt.groupBy("parent", "i", "j").applyInArrow(best, one.schema)
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "parent_rank", "pos")
+    ranked = one.unionByName(blocks).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return stored(ranked.select("q", "rank", "leaf", "score"), "found")
+
+
 def beam(queries: DataFrame, nodes: DataFrame, edges: DataFrame, leaves: DataFrame, root: int, width: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(q, rank, leaf, score) and (q, level, node) of routing all queries through the tree at once, whatever its depth.
 
     When the frontier of a query has no inner children, its leaves are ranked by their own cosine. leaves: parent, pos, leaf, v, n.
     """
     ends, path = descend(queries, nodes, edges, root, width)
-    q = queries.select("q", "qv", norm(F.col("qv")).alias("qn"))
-    found = ends.join(q, "q").join(leaves, "parent").select("q", "leaf", "parent_rank", "pos", cosine(F.col("v"), F.col("qv"), F.col("n"), F.col("qn")).alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "parent_rank", "pos")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "leaf", "score")
-    return stored(ranked, "found"), path
+    return ranked_leaves(ends, queries, leaves, k), path
 
 
 def maxsim(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -26,8 +26,40 @@ def test_zero_keeps_its_sign_and_null_labels_meet_nothing(spark, tmp_path, name)
     assert any("-0.0" in repr(r[0]) for r in want)
 
 
+def test_leaves_by_blocks_are_those_by_a_join(spark, monkeypatch):
+    from canopy.functions.vec import norm
+    from canopy.operators import retrieve
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 6)).round(1)
+    v[40:70] = v[3]  # equal vectors tie
+    v[71] = 0
+    rows = [(i % 3, i, i, [float(x) for x in v[i]]) for i in range(300)] + [(0, 900, 900, [1.0, 2.0]), (1, 901, 901, None), (2, 902, 902, [1.0, None, 0.0, 0.0, 0.0, 1.0])]
+    leaves = spark.createDataFrame(rows, "parent long, pos long, leaf long, v array<double>").withColumn("n", norm(F.col("v")))
+    asked = spark.createDataFrame([(f"q{i}", [float(x) for x in v[i]]) for i in range(0, 300, 4)] + [("none", None)], "q string, qv array<double>")
+    ends = asked.selectExpr("q", "explode(array(0L, 1L, 2L)) as parent").withColumn("parent_rank", F.col("parent").cast("int"))
+    found = lambda few: sorted((r["q"], r["rank"], r["leaf"], r["score"] and round(r["score"], 12)) for r in retrieve.ranked_leaves(ends, asked, leaves, 10, few).collect())
+    want = found(10**9)
+    monkeypatch.setattr(retrieve, "BLOCK", 64)
+    assert found(0) == want and len(want) == 760
+
+
 def test_no_leaf_is_scored_for_a_path(spark, tmp_path, monkeypatch):
     from canopy.operators import retrieve
 
-    monkeypatch.setattr(retrieve, "beam", lambda *_: pytest.fail("leaves were ranked"))
+    monkeypatch.setattr(retrieve, "ranked_leaves", lambda *_: pytest.fail("leaves were ranked"))
     assert QUERIES["beam_path"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_leaves_of_large_parents_are_not_joined(spark, monkeypatch):
+    """The pairs of queries and leaves grow with the square of the table, so they may not be rows of a plan."""
+    from canopy.operators import retrieve
+
+    seen, keep = [], retrieve.stored
+    monkeypatch.setattr(retrieve, "stored", lambda df, name: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "found" else None) or keep(df, name))
+    v = [(i % 2, i, i, [float(i % 7), 1.0]) for i in range(200)]
+    leaves = spark.createDataFrame(v, "parent long, pos long, leaf long, v array<double>").withColumn("n", F.lit(1.0))
+    asked = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)], "q long, qv array<double>")
+    ends = asked.select("q", F.lit(0).cast("long").alias("parent"), F.lit(1).alias("parent_rank"))
+    assert retrieve.ranked_leaves(ends, asked, leaves, 5).count() == 100
+    assert "FlatMapGroupsInArrow" in seen[0]
