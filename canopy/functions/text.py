@@ -133,7 +133,9 @@ def parse_enrichment(raw: Column, name: Column) -> Column:
 
 def distinct_by_lower(items: Column) -> Column:
     """Items without those equal to an earlier one but for case."""
-    return F.filter(items, lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    # Bound to a name, as each use inside a function of an element would work the items out again.
+    once = lambda got, low: F.filter(got, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return F.transform(F.array(items), lambda got: F.transform(F.array(F.transform(got, F.lower)), lambda low: once(got, low))[0])[0]
 
 
 def constraints(text: Column) -> Column:

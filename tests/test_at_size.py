@@ -109,3 +109,13 @@ def test_copies_of_a_vector_tie_by_id(spark):
     rows = [(i, [1.0, 2.0, 3.0] if i % 2 else [float(i), 1.0, -2.0]) for i in range(60)]
     got = knn_graph(spark.createDataFrame(rows, "id long, v array<double>"), 4).filter("i = 59").orderBy("rank").collect()
     assert [r["j"] for r in got] == [1, 3, 5, 7]
+
+
+def test_constraints_are_looked_for_once(spark):
+    plan = QUERIES["extract_constraints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 5
+
+
+def test_words_of_sources_are_hashed_and_not_sorted(spark):
+    plan = QUERIES["cluster_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
