@@ -301,9 +301,10 @@ SELECT r.source, 'Tools focused on ' || string_agg(w, ', ' ORDER BY rank) AS lab
 def cluster_labels(t: Tables):
     """The first three keywords of each source that no other source has; the first three at all where there are none."""
     k = t("documents").select("source", "doc_id", F.posexplode(text.keywords(F.col("text"))).alias("i", "w"))
-    first = k.groupBy("source", "w").agg(F.min(F.struct("doc_id", "i")).alias("at"))
+    at = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("i")  # a number, so that it is hashed and not sorted
+    first = k.groupBy("source", "w").agg(F.min(at).alias("at"))
     holders = first.groupBy("w").agg(F.when(F.count(F.lit(1)) > 1, 1).otherwise(0).alias("common"))
-    r = first.join(holders, "w").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("common", "at"))).filter("rank <= 3")
+    r = first.join(holders, "w").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("common", F.asc_nulls_last("at")))).filter("rank <= 3")
     least = r.groupBy("source").agg(F.min("common").alias("least"), F.array_sort(F.collect_list(F.struct("rank", "common", "w"))).alias("ws"))
     return least.select("source", F.concat(F.lit("Tools focused on "), F.array_join(F.transform(F.filter("ws", lambda s: s["common"] == F.col("least")), lambda s: s["w"]), ", ")).alias("label"))
 
