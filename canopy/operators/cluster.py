@@ -193,5 +193,5 @@ def merge_small(sizes: list[tuple[int, int, list[float]]], least: int, most: int
 
 
 def unit(v):
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / n))
+    """v over its norm, which is worked out once and not for each component; v itself where it is 0."""
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n == 0, x).otherwise(x / n)))[0]

@@ -119,3 +119,12 @@ def test_constraints_are_looked_for_once(spark):
 def test_words_of_sources_are_hashed_and_not_sorted(spark):
     plan = QUERIES["cluster_labels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_probing_deals_rows_by_blocks_and_not_by_lists(spark, monkeypatch):
+    from canopy.operators import cluster, similarity
+
+    dealt, keep = [], similarity._by_blocks
+    monkeypatch.setattr(similarity, "_by_blocks", lambda *a: dealt.append(1) or keep(*a))
+    rows = spark.range(40).select("id", cluster.unit(F.array(F.col("id") * 1.0, F.lit(3.0))).alias("v"))
+    assert similarity.probed_neighbours(rows, 3).count() == 120 and dealt
